@@ -1,0 +1 @@
+"""The analytics engine is a batch system; it claims no streaming operators."""
