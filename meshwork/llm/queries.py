@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, secrets, token_counts, token_store
+from . import chat, decontamination, fingerprints, mixing, quality, secrets, simhash, token_counts, token_store
 
 #: Folder of the public tokenizer files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -26,6 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 5, 2, 1 of their sources."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a benchmark item."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -36,6 +51,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
@@ -46,9 +66,14 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, repaired and rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this package."""
-    made = [op4_secrets, op6_token_counts, op8_fingerprints, op9_token_store]
+    made = [op1_mixing, op2_decontamination, op3_simhash, op4_secrets, op6_token_counts, op7_quality, op8_fingerprints, op9_token_store, op10_chat]
     return {f.__name__: f for f in made}
 
 
