@@ -142,6 +142,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     return best.join(ids, "rep").select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("first_word"), F.col("x.words").cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` whose document has no benchmark item, as they are."""
+    bad = find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(broadcast_if_small(materialize(bad, "leaked")), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+
+
 class _named:
     """Columns of a frame by its alias."""
 

@@ -17,6 +17,8 @@ nearest in size, close the gap.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,11 @@ DIGIT = 16  # bits of a rounding key that one histogram resolves
 DIGITS = 3
 
 
-def sized(docs: DataFrame, prior: str | None = None) -> DataFrame:
-    """doc_id, source, size (words; null text: 0) and q of every row."""
+def sized(docs: DataFrame, prior: str | None = None, whole_rows: bool = False) -> DataFrame:
+    """doc_id, source, size (words; null text: 0) and q of every row; with ``whole_rows`` also the row itself as doc."""
     q = F.coalesce(F.col(prior).cast("double"), F.lit(1.0)) if prior else F.lit(1.0)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), q.alias("q"))
+    row = [F.struct("*").alias("doc")] if whole_rows else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), q.alias("q"), *row)
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -109,46 +112,82 @@ def _cut(docs: DataFrame, room: DataFrame) -> DataFrame:
     return now
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, prior: str | None = None, seed: int = 7, fills: int = 4) -> DataFrame:
-    """doc_id, size, source_size, target, taken, rate and copies of every row.
-
-    ``taken`` is size times copies; no document is taken more than ``cap`` times.
-    ``prior`` names a column of prior rates. Deterministic in doc_id and ``seed``.
-    Null texts and texts without words have size 0 and take nothing; a null source
-    is a source of its own; a null doc_id is an id like any other. Rows that share
-    doc_id and size get the same number of copies. An empty table gives an empty
-    result; other columns are ignored.
-    """
-    base = materialize(sized(docs, prior), "sized")
-    cells = materialize(base.groupBy("source", "q").agg(F.sum("size").cast("double").alias("size")), "cells")
-    goals = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    tilts = materialize(multipliers(cells, goals, cap), "tilts")
+def _rated(base: DataFrame, tilts: DataFrame, cap: int, seed: int) -> DataFrame:
+    """``base`` with its sources' target and each document's rate, whole copies, fraction and rounding key."""
     rate = F.least(F.lit(float(cap)), F.col("q") * F.exp("lam"))
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 1) / F.lit(2.0**53)
     rated = _with(base, tilts).withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0))).withColumn("whole", F.floor("rate"))
     rated = rated.withColumn("fraction", F.col("rate") - F.col("whole"))
     place = u / F.nullif("fraction", F.lit(0.0))
-    rated = rated.withColumn("key", F.floor(place / (place + 1) * F.lit(2.0 ** (DIGIT * DIGITS))).cast("long"))
+    return rated.withColumn("key", F.floor(place / (place + 1) * F.lit(2.0 ** (DIGIT * DIGITS))).cast("long"))
+
+
+def _picked(picked: DataFrame) -> tuple[DataFrame, object]:
+    p = picked.select(F.col("doc_id").alias("pd"), F.col("size").alias("ps"), F.col("source").alias("pf"), F.lit(True).alias("hit"))
+    return broadcast_if_small(p), F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("size") == F.col("ps")) & F.col("source").eqNullSafe(F.col("pf"))
+
+
+@dataclass(frozen=True)
+class Mix:
+    """What decides every document's copies: a multiplier and a cut per source, and the documents that close gaps."""
+
+    tilts: DataFrame
+    cut: DataFrame
+    picked: DataFrame | None
+    cap: int
+    seed: int
+
+    def apply(self, base: DataFrame) -> DataFrame:
+        """``base`` (see :func:`sized`) with source_size, target, rate and copies."""
+        out = _with(_rated(base, self.tilts, self.cap, self.seed), self.cut.select("source", "cut")).withColumn("more", (F.col("fraction") > 0) & (F.col("key") < F.col("cut")))
+        if self.picked is not None:
+            p, same = _picked(self.picked)
+            out = out.join(p, same, "left").withColumn("more", F.col("more") | F.coalesce("hit", F.lit(False)))
+        return out.withColumn("copies", (F.col("whole") + F.col("more").cast("int")).cast("long"))
+
+
+def plan_mix(base: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, seed: int = 7, fills: int = 4) -> Mix:
+    """The mix of a materialised ``base`` (see :func:`sized`)."""
+    cells = materialize(base.groupBy("source", "q").agg(F.sum("size").cast("double").alias("size")), "cells")
+    goals = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    tilts = materialize(multipliers(cells, goals, cap), "tilts")
+    rated = _rated(base, tilts, cap, seed)
     room = rated.groupBy("source", "target").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("room")).drop("target")
-    cut = _cut(rated, materialize(room, "room"))
-    left = cut
+    cut = left = _cut(rated, materialize(room, "room"))
     picked = None
     for k in range(fills):
         most = F.col("left") * (2 if k == fills - 1 else 1)  # only the last may go above, and only to come nearer
         free = _with(rated.where("fraction > 0"), left.select("source", "cut", "left")).where((F.col("key") >= F.col("cut")) & (F.col("size") <= most))
         if picked is not None:
-            p = picked.select(F.col("doc_id").alias("pd"), F.col("size").alias("ps"), F.col("source").alias("pf"))
-            free = free.join(broadcast_if_small(p), F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("size") == F.col("ps")) & F.col("source").eqNullSafe(F.col("pf")), "left_anti")
+            p, same = _picked(picked)
+            free = free.join(p, same, "left_anti")
         best = materialize(free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "key", "doc_id", "size")).alias("x")).select("source", "x.doc_id", "x.size"), "fill")
         if best.isEmpty():
             continue
         picked = best if picked is None else materialize(picked.unionByName(best), "filled")
         b = best.select(F.col("source").alias("of"), F.col("size").alias("got"))
         left = materialize(left.join(broadcast_if_small(b), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "cut", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")), "left")
-    out = _with(rated, cut.select("source", "cut")).withColumn("more", (F.col("fraction") > 0) & (F.col("key") < F.col("cut")))
-    if picked is not None:
-        p = picked.select(F.col("doc_id").alias("pd"), F.col("size").alias("ps"), F.col("source").alias("pf"), F.lit(True).alias("hit"))
-        out = out.join(broadcast_if_small(p), F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("size") == F.col("ps")) & F.col("source").eqNullSafe(F.col("pf")), "left").withColumn("more", F.col("more") | F.coalesce("hit", F.lit(False)))
-    copies = (F.col("whole") + F.col("more").cast("int")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "rate", copies.alias("copies"))
+    return Mix(tilts, cut, picked, cap, seed)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, prior: str | None = None, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken, rate and copies of every row.
+
+    ``taken`` is size times copies; no document is taken more than ``cap`` times.
+    ``prior`` names a column of prior rates. Deterministic in doc_id and ``seed``.
+    Null texts and texts without words have size 0 and take nothing; a null source
+    is a source of its own; a null doc_id is an id like any other. Rows that share
+    doc_id and size get the same number of copies. An empty table gives an empty
+    result; other columns are ignored.
+    """
+    base = materialize(sized(docs, prior), "sized")
+    out = plan_mix(base, weights, share, cap, seed).apply(base)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, prior: str | None = None, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns; documents without words go."""
+    mix = plan_mix(materialize(sized(docs, prior), "sized"), weights, share, cap, seed)
+    out = mix.apply(sized(docs, prior, whole_rows=True)).where("copies > 0")
+    return out.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")

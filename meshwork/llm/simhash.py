@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 from .text import map_texts, words
 
 RADIUS, SEED = 3, 42
@@ -111,3 +111,12 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     named = linked.join(names, "component").select(F.col("node").alias("simhash"), "component_id", "links")
     every = nodes.join(named, "simhash", "left").select("simhash", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     return prints.join(every, "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of each component of :func:`near_groups`, that of the least doc_id, as it is."""
+    groups = materialize(near_groups(docs, shingle), "groups")
+    dropped = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
+    kept = docs.join(broadcast_if_small(dropped), F.col("doc_id").eqNullSafe(F.col("dropped")), "left_anti")
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
