@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, mixing, quality, secrets, simhash, token_counts, token_store
+from . import chat, decontamination, fingerprints, mixing, quality, scoring, secrets, simhash, token_counts, token_store
 
 #: Folder of the public tokenizer files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -46,6 +46,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return scoring.score_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -73,7 +78,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this package."""
-    made = [op1_mixing, op2_decontamination, op3_simhash, op4_secrets, op6_token_counts, op7_quality, op8_fingerprints, op9_token_store, op10_chat]
+    made = [op1_mixing, op2_decontamination, op3_simhash, op4_secrets, op5_scoring, op6_token_counts, op7_quality, op8_fingerprints, op9_token_store, op10_chat]
     return {f.__name__: f for f in made}
 
 
