@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
-Words are runs of letters and digits, A-Z in lower case; shingles are five words
+Words are runs of letters and digits in lower case; shingles are five words
 (an item of fewer words is one shingle). A window has as many words as an item.
 
 1. Windows. A window whose weighted shingle similarity with an item reaches
@@ -32,25 +32,15 @@ _FLIPS = [0] + [1 << i for i in range(BLOCK)] + [1 << i | 1 << k for i in range(
 
 
 def word_array(text: Column) -> Column:
-    """Runs of letters and digits of a text; null: none."""
-    split = F.split(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^\p{L}\p{N}]+")
-    return F.filter(split, lambda w: w != "")
+    """Runs of letters and digits of a lower-cased text; null: none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingle_array(words: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all runs of ``size`` words, by position: pairs, pairs of pairs, then the rest of the run."""
-
-    def join(a: Column, b: Column, shift: int) -> Column:
-        n = F.greatest(F.least(F.size(a) - 0, F.size(b) - shift), F.lit(0))
-        return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
-
-    made, have, power = None, 0, F.transform(words, lambda w: F.xxhash64(w))
-    bit = 1
-    while bit <= size:
-        if size & bit:
-            made, have = (power, bit) if made is None else (join(made, power, have), have + bit)
-        power, bit = join(power, power, bit), bit * 2
-    return made
+def shingle_array(words: Column, size: Column) -> Column:
+    """Hashes of all runs of ``size`` words (SHINGLE at most), by position. ``words`` must be a plain column: it is read once per word of a run."""
+    word = lambda i, j: F.get(words, i + j) if j == 0 else F.when(size > j, F.get(words, i + j))
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[word(i, j) for j in range(SHINGLE)]))
+    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<long>"))
 
 
 def _simhash(shingles: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,14 +60,11 @@ def prepare_items(benchmark: DataFrame, similarity: float = SIMILARITY) -> tuple
     h, n. anchors: h, at (shingles before it), words, rep. rep stands for all
     item_ids of the same words; items without words are left out.
     """
-    ws = word_array(F.col("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), ws.alias("ws")).where(F.size("ws") > 0)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = materialize(items.select("item_id", F.size("ws").alias("words"), F.concat_ws(" ", "ws").alias("key"), "ws"), "items")
     reps = items.groupBy("key").agg(F.min(F.struct(F.coalesce("item_id", F.lit(-(2**63)).cast("long")).alias("rep"), "words", "ws")).alias("x")).select("key", "x.*")
-    hashes = F.when(F.col("words") >= SHINGLE, shingle_array(F.col("ws")))
-    for k in range(1, SHINGLE):
-        hashes = F.when(F.col("words") == k, shingle_array(F.col("ws"), k)).otherwise(hashes)
-    placed = reps.select("rep", "words", F.posexplode(hashes).alias("at", "h"))
+    hashes = shingle_array(F.col("ws"), F.least("words", F.lit(SHINGLE)))
+    placed = materialize(reps, "reps").select("rep", "words", F.posexplode(hashes).alias("at", "h"))
     placed = materialize(placed, "placed")
     shingles = materialize(placed.groupBy("rep", "words", "h").agg(F.count("*").alias("n")), "shingles")
     common = placed.groupBy("h").agg(F.countDistinct("rep").alias("items"))
@@ -109,7 +96,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     hits = None
     sizes = sorted(r.k for r in anchors.select(F.least("words", F.lit(SHINGLE)).alias("k")).distinct().collect()) or [SHINGLE]
     for k in sizes:
-        spread = docs.select("doc_id", "body", F.posexplode(shingle_array(word_array(F.col("text")), k)).alias("pos", "h"))
+        spread = docs.select("doc_id", "body", word_array(F.col("text")).alias("ws")).select("doc_id", "body", F.posexplode(shingle_array(F.col("ws"), F.lit(k))).alias("pos", "h"))
         mine = materialize(starts.where(F.least("words", F.lit(SHINGLE)) == k), "starts")
         got = spread.join(broadcast_if_small(mine), "h").select("doc_id", "body", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("first"), "words", F.col("h").alias("anchor"))
         hits = got if hits is None else hits.unionByName(got)
@@ -119,11 +106,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     where = places.groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "words")).alias("places"))
     w = materialize(where, "where").select(F.col("doc_id").alias("d"), F.col("body").alias("bd"), "places")
     texts = docs.join(broadcast_if_small(w, 50_000), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("bd"))).dropDuplicates(["doc_id", "body"])
-    texts = texts.select("doc_id", "body", word_array(F.col("text")).alias("ws"), F.explode("places").alias("p"))
+    texts = texts.select("doc_id", "body", word_array(F.col("text")).alias("ws"), "places").select("doc_id", "body", "ws", F.explode("places").alias("p"))
     cut = texts.select("doc_id", "body", F.col("p.first").alias("first"), F.col("p.words").alias("words"), F.slice("ws", F.col("p.first") + 1, F.col("p.words")).alias("ws"))
-    hashes = F.when(F.col("words") >= SHINGLE, shingle_array(F.col("ws")))
-    for k in range(1, SHINGLE):
-        hashes = F.when(F.col("words") == k, shingle_array(F.col("ws"), k)).otherwise(hashes)
+    hashes = shingle_array(F.col("ws"), F.least("words", F.lit(SHINGLE)))
     window = ["doc_id", "body", "first", "words"]
     shingles = materialize(cut.select(*window, F.explode(hashes).alias("h")).groupBy(*window, "h").agg(F.count("*").alias("n")), "window-shingles")
     prints = materialize(_simhash(shingles, window), "window-prints")

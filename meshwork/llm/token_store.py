@@ -43,8 +43,8 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2_000, 4_096, 64 << 10
 #: Payload after which a shard row is closed.
 SHARD_BYTES = 4 << 20
 
-#: Segments that a worker remembers before it starts anew.
-MEMORY = 300_000
+#: Segments that a worker remembers before it starts anew, and that go to the library as one text.
+MEMORY, JOINT = 800_000, 200
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u4"), ("n_tokens", "<u4")])
 _SPACED = re.compile(r"\s ")
@@ -57,34 +57,55 @@ class SegmentEncoder:
     A blank that follows anything but white space always begins a pre-token, so a
     text may be cut before each such blank and the segments encoded on their own.
     Texts where white space precedes a blank, or with one of the special strings,
-    go to the library whole.
+    go to the library whole. New segments go to it many at a time, joined: each
+    begins with a blank after a character that is none, so the joined text splits
+    as they do, and the tokens' lengths in bytes tell where each one's ids end.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in special.values()]
         self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max([*vocab.values(), *special]) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)  # a byte is one character in the vocabulary
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+    def _learn(self, new: list[str]) -> None:
+        alone = [s for s in new if s[:1] != " " or s[-1:].isspace()]
+        self.known.update(zip(alone, self._ids(alone), strict=True))
+        joint = [s for s in new if s[:1] == " " and not s[-1:].isspace()]
+        runs = [joint[i : i + JOINT] for i in range(0, len(joint), JOINT)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(s.encode("utf-8")) for s in run]), "left") + 1
+            raw, start = ids.tobytes(), 0
+            for s, end in zip(run, (4 * ends).tolist(), strict=True):
+                self.known[s] = raw[start:end]
+                start = end
+
     def _cut(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special) or (any(b in text for b in _BLANKS) if text.isascii() else _SPACED.search(text)):
+        """Segments of a text, or None where it must stay whole."""
+        if any(s in text for s in self.special) or "\0" in text or (any(b in text for b in _BLANKS) if text.isascii() else _SPACED.search(text)):
             return None
-        head, *rest = text.split(" ")
-        return [head, *[" " + r for r in rest]]
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cut = [self._cut(t) for t in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
-        new = list({s for c in cut if c for s in c}.difference(self.known))
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
+        every = set()
+        for c in cut:
+            every.update(c or ())
+        self._learn(list(every.difference(self.known)))
         return [b"".join(map(self.known.__getitem__, c)) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut, strict=True)]
 
 

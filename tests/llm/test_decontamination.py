@@ -6,7 +6,7 @@ from meshwork.llm.decontamination import find_leaks
 
 
 def norm(t):
-    return [w for w in re.split(r"[\W_]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
 
 def bag(ws, k):

@@ -20,7 +20,7 @@ def test_segments_encode_as_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in OURS.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@pytest.mark.parametrize("text", ["", " ", "  a", "a ", "a  b", "a\n b", "x<|endoftext|> y", "\n \n x", "a\xa0 b", "a b"])
+@pytest.mark.parametrize("text", ["", " ", "  a", "a ", "a  b", "a\n b", "x<|endoftext|> y", "\n \n x", "a\xa0 b", "a b", "a\0 b", " a b é\n", " x\n", "a <b\t c"])
 def test_edge_texts(text):
     assert np.frombuffer(OURS.encode([text])[0], "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
 
