@@ -124,6 +124,42 @@ def similarity_vectors(nbr: DataFrame, sim: DataFrame, types: list[int]) -> Data
     return wide.join(has, "u").join(other, "w").select("u", "w", F.array(*parts).alias("vec"))
 
 
+def common_vectors(nbr: DataFrame, types: list[int], measure: str = "jaccard") -> DataFrame:
+    """(u, w, vec), directed, self included: pairs similar, however little, in every type.
+
+    The same rows as those of :func:`similarity_vectors` without a 0, from far
+    fewer: types of one neighbour at most are join keys, so that pairs which differ
+    there are never formed.
+    """
+    own = nbr.where(F.col("type").isin(*types))
+    costs = type_costs(own)
+    fused = [t for t in types if t not in costs or costs[t][0] <= 1]
+    rest = [t for t in types if t not in fused]
+    keys = [f"f{t}" for t in fused]
+    base = own.groupBy("u").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("type") == t, F.col("v"))).alias(f"f{t}") for t in fused], *[F.count_if(F.col("type") == t).alias(f"n{t}") for t in rest]).drop("_n")
+
+    def met(a: DataFrame, on: list[str]) -> DataFrame:
+        b = a.select(*[F.col(c).alias(f"r_{c}") for c in a.columns])
+        same = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in [*on, *keys]]
+        return a.join(b, reduce(lambda x, y: x & y, [*same, F.col("u") < F.col("r_u")]))
+
+    parts = []
+    for t in rest:
+        a = base.select("u", *keys, f"n{t}").join(own.where(F.col("type") == t).select("u", "v"), "u")
+        c = met(a, ["v"]).groupBy("u", F.col("r_u").alias("w"), f"n{t}", f"r_n{t}").agg(F.count("*").alias("c"))
+        parts.append(c.select("u", "w", *[(MEASURES[measure](F.col("c"), F.col(f"n{t}"), F.col(f"r_n{t}")) if x == t else F.lit(None).cast("double")).alias(f"s{x}") for x in rest]))
+    if keys:  # alike in all keys, with nothing else
+        bare = base.where(reduce(lambda x, y: x & y, [F.col(f"n{t}") == 0 for t in rest], F.lit(True)))
+        parts.append(met(bare, []).select("u", F.col("r_u").alias("w"), *[F.lit(None).cast("double").alias(f"s{x}") for x in rest]))
+    pairs = reduce(lambda a, b: a.unionByName(b), parts).groupBy("u", "w").agg(F.count("*").alias("_n"), *[F.max(f"s{t}").alias(f"s{t}") for t in rest])
+    none = base.select("u", *[(F.col(f"n{t}") == 0).alias(f"e{t}") for t in rest])
+    pairs = pairs.join(none, "u").join(none.select(F.col("u").alias("w"), *[F.col(f"e{t}").alias(f"g{t}") for t in rest]), "w")
+    vec = F.array(*[F.lit(1.0) if t in fused else F.coalesce(f"s{t}", F.when(F.col(f"e{t}") & F.col(f"g{t}"), F.lit(1.0)).otherwise(F.lit(0.0))) for t in types])
+    found = pairs.select("u", "w", vec.alias("vec")).where(F.forall("vec", lambda x: x > 0))
+    alone = base.select("u", F.col("u").alias("w"), F.array(*[F.lit(1.0)] * len(types)).alias("vec"))
+    return found.unionByName(found.select(F.col("w").alias("u"), F.col("u").alias("w"), "vec")).unionByName(alone)
+
+
 def index_edges(vectors: DataFrame, types: list[int], eps: dict[int, float]) -> DataFrame:
     """Directed similar edges, answered from stored vectors; types without a threshold above 0 don't count."""
     tests = [F.col("vec")[i] >= F.lit(float(eps[t])) for i, t in enumerate(types) if eps.get(t, 0) > 0]

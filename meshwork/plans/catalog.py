@@ -195,8 +195,8 @@ def _h1_edges(spark, d) -> DataFrame:
     return materialize(similarity.similar_edges(N.part_supply(spark, d), EPS), "similar")
 
 
-def _h1_members(spark, d) -> DataFrame:
-    return materialize(community.membership(_h1_edges(spark, d), MU), "members")
+def _h1_members(spark, d, edges: DataFrame | None = None) -> DataFrame:
+    return materialize(community.membership(edges if edges is not None else _h1_edges(spark, d), MU), "members")
 
 
 def _h1_output(spark, d) -> DataFrame:
@@ -337,9 +337,7 @@ def hetesim_long(spark, d):
 
 
 def _h2_vectors(spark, d) -> DataFrame:
-    nbr = N.customer_supply(spark, d)
-    v = similarity.similarity_vectors(nbr, similarity.typed_similarity(nbr), [1, 2])
-    return materialize(index.common_vectors(v), "vectors")
+    return materialize(similarity.common_vectors(N.customer_supply(spark, d), [1, 2]), "vectors")
 
 
 @query(f"WITH {_H2}, {_SIM} SELECT a.u, a.w, round(a.s, 9) AS s1, round(b.s, 9) AS s2 FROM sim a JOIN sim b ON a.u = b.u AND a.w = b.w WHERE a.type = 1 AND b.type = 2")
@@ -403,19 +401,19 @@ def mutree_query(spark, d):
 @query(f"{_H1_SCAN}, z AS (SELECT cid, count(DISTINCT v) AS size, count(DISTINCT CASE WHEN role = 'c' THEN v END) AS core_num FROM members GROUP BY cid), e AS (SELECT a.cid, count(*) AS edge_num FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid GROUP BY a.cid) SELECT z.cid, size, core_num, edge_num, round(edge_num::DOUBLE / size, 9) AS density FROM z JOIN e ON z.cid = e.cid")
 def community_density(spark, d):
     """Size and density of communities of parts."""
-    return metrics.density(_h1_edges(spark, d), _h1_members(spark, d)).withColumn("density", F.round("density", 9))
+    return metrics.density(edges := _h1_edges(spark, d), _h1_members(spark, d, edges)).withColumn("density", F.round("density", 9))
 
 
 @query(f"{_H1_SCAN}, e AS (SELECT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid), deg AS (SELECT cid, u, count(*) AS n FROM e GROUP BY cid, u), t AS (SELECT x.cid, x.u, count(*) AS t FROM e x JOIN e y ON x.cid = y.cid AND x.u = y.u AND x.w < y.w JOIN e z ON z.cid = x.cid AND z.u = x.w AND z.w = y.w GROUP BY x.cid, x.u), l AS (SELECT deg.cid, CASE WHEN n < 2 THEN 0 ELSE 2.0::DOUBLE * coalesce(t, 0) / (n * (n - 1)) END AS c FROM deg LEFT JOIN t ON deg.cid = t.cid AND deg.u = t.u), z AS (SELECT cid, count(DISTINCT v) AS size FROM members GROUP BY cid) SELECT z.cid, round(sum(c) / any_value(size), 9) AS cc FROM z JOIN l ON z.cid = l.cid GROUP BY z.cid")
 def community_cc(spark, d):
     """Clustering coefficients of communities of parts."""
-    return metrics.clustering(_h1_edges(spark, d), _h1_members(spark, d)).select("cid", F.round("cc", 9).alias("cc"))
+    return metrics.clustering(edges := _h1_edges(spark, d), _h1_members(spark, d, edges)).select("cid", F.round("cc", 9).alias("cc"))
 
 
 @query(f"{_H1_SCAN}, e AS (SELECT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid WHERE u <> w), s AS (SELECT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r FROM members), bfs AS (SELECT cid, v AS s, v AS u, 0 AS d FROM s WHERE r <= 10 UNION SELECT b.cid, b.s, e.w, b.d + 1 FROM bfs b JOIN e ON b.cid = e.cid AND b.u = e.u WHERE b.d < 16) SELECT cid, max(d) AS diameter FROM (SELECT cid, s, u, min(d) AS d FROM bfs GROUP BY cid, s, u) GROUP BY cid")
 def community_diameter(spark, d):
     """Diameters of communities of parts, from ten starts."""
-    return metrics.diameter(_h1_edges(spark, d), _h1_members(spark, d))
+    return metrics.diameter(edges := _h1_edges(spark, d), _h1_members(spark, d, edges))
 
 
 @query(f"{_H1_SCAN}, m AS (SELECT DISTINCT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r, count(*) OVER (PARTITION BY cid) AS n FROM (SELECT DISTINCT cid, v FROM members)), p AS (SELECT a.cid, a.v AS a, b.v AS b, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.s), 0) END AS j, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.c / sqrt(s.na::DOUBLE * s.nb)), 0) END AS k FROM m a JOIN m b ON a.cid = b.cid LEFT JOIN sim s ON s.u = a.v AND s.w = b.v WHERE a.r <= 100 GROUP BY a.cid, a.v, b.v) SELECT cid, round(avg(j), 9) AS avg_jaccard, round(avg(k), 9) AS avg_cosine FROM p GROUP BY cid")

@@ -48,6 +48,18 @@ def test_similar_edges_equal_brute_force(spark, seed):
             assert pairs(similarity.similar_edges(nbr, eps, measure)) == brute(sets, eps, measure)
 
 
+def test_common_vectors_equal_filtered_ones(spark):
+    rng = random.Random(9)
+    sets = {u: {1: rng.sample(range(3), rng.randint(0, 1)), 2: rng.sample(range(6), rng.randint(0, 3)), 3: rng.sample(range(4), rng.randint(0, 2))} for u in range(40)}
+    nbr = nbr_of(spark, sets)
+    plain = lambda df: {(r.u, r.w, tuple(r.vec)) for r in df.collect()}
+    for types in ([1, 2, 3], [2, 3], [1, 3]):
+        every = similarity.similarity_vectors(nbr, similarity.typed_similarity(nbr), types)
+        assert plain(similarity.common_vectors(nbr, types)) == plain(index.common_vectors(every))
+        eps = {types[0]: 0.4, types[-1]: 0.5}
+        assert pairs(similarity.index_edges(every, types, eps)) >= brute(sets, eps) - {(u, u) for u in sets}
+
+
 def test_empty_rules(spark):
     sets = {1: {1: [1]}, 2: {1: [1]}, 3: {1: [1], 2: [5]}, 4: {}, 5: {9: [1]}}
     assert pairs(similarity.similar_edges(nbr_of(spark, sets), {1: 0.5, 2: 0.5})) == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
