@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Characters of text that one step of a Python worker holds at most, besides a single longer text.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
+
+#: Rows of a batch that are turned into Python objects at a time.
+ROWS = 1_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,7 +50,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], di
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, f = to_arrow_schema(spec), make()
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for s in steps(texts):
                 out = f(ids[s], texts[s])

@@ -44,7 +44,7 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2_000, 4_096, 64 << 10
 SHARD_BYTES = 4 << 20
 
 #: Segments that a worker remembers before it starts anew, and that go to the library as one text.
-MEMORY, JOINT = 800_000, 200
+MEMORY, JOINT = 600_000, 200
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u4"), ("n_tokens", "<u4")])
 _SPACED = re.compile(r"\s ")
