@@ -16,6 +16,7 @@ Hamming test. Equal fingerprints are one node, however many documents carry it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -29,6 +30,7 @@ from .text import map_texts, words
 
 RADIUS, SEED = 3, 42
 _LOW = 0x5555555555555555
+_ROW = "__row"
 
 
 def fingerprint(ws: list[bytes], shingle: int = 3) -> int:
@@ -113,10 +115,16 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(every, "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One row of each component of :func:`near_groups`, that of the least doc_id, as it is."""
-    groups = materialize(near_groups(docs, shingle), "groups")
-    dropped = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
-    kept = docs.join(broadcast_if_small(dropped), F.col("doc_id").eqNullSafe(F.col("dropped")), "left_anti")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
+    """One row of each component that ``groups`` finds, that of the least doc_id, as it is.
+
+    Rows are told apart by a number of their own, so null and repeated ids lose
+    nothing; a row with a null id stands for a component only where it has no other.
+    """
+    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    found = groups(rows.select(F.col(_ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(_ROW).alias("row")).alias("order")
+    named = materialize(found.join(rows.select(_ROW, order), _ROW), "named")
+    kept = named.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias(_ROW))
+    dropped = materialize(named.select(_ROW).join(kept, _ROW, "left_anti"), "dropped")
+    return rows.join(broadcast_if_small(dropped), _ROW, "left_anti").drop(_ROW)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import xxhash
 
-from meshwork.llm.simhash import embedding, fingerprint, near_groups, near_pairs
+from meshwork.llm.simhash import embedding, fingerprint, near_groups, near_pairs, one_of_each
 from meshwork.llm.text import words
 
 
@@ -96,3 +96,14 @@ def test_groups_equal_brute_force(spark):
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "x y z"), (4, "x y z"), (None, "p q r s")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.component_id) for r in near_groups(df).collect()), key=str) == [(4, 4), (None, 4), (None, None)]
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[2]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (8, texts[4].upper()), (9, texts[5]), (4, texts[5])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int").repartition(3)
+    got = one_of_each(df)
+    assert got.columns == ["doc_id", "text", "n"]
+    kept = sorted(((r.doc_id, r.text.lower()) for r in got.collect()), key=str)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (3, texts[2]), (7, texts[3]), (8, texts[4]), (4, texts[5])], key=str)
+    assert one_of_each(df.limit(0)).count() == 0
