@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import decontamination, mixing, quality, simhash, token_store
+from meshwork.llm import decontamination, mixing, near_copies, quality, simhash, token_store
 from meshwork.llm.queries import table, tokenizer_file
 from meshwork.session import materialize
 
@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.one_of_each(docs)
+    """One document of each component of near copies: five-word shingles, Jaccard similarity of 0.8 at least."""
+    return simhash.one_of_each(docs, near_copies.near_copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,13 +33,18 @@ _LOW = 0x5555555555555555
 _ROW = "__row"
 
 
+def shingle_hashes(ws: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the shingles in their order, repeats included; fewer words are one shingle, none have none."""
+    line, k = b" ".join(ws), min(shingle, len(ws))
+    starts = list(accumulate([0, *(len(w) + 1 for w in ws)]))
+    return np.array([xxhash.xxh64_intdigest(line[s : e - 1], SEED) for s, e in zip(starts, starts[k:])] if ws else [], np.uint64)
+
+
 def fingerprint(ws: list[bytes], shingle: int = 3) -> int:
     """SimHash of the shingles, repeats included, as an unsigned 64-bit number; 0 without words."""
     if not ws:
         return 0
-    line, k = b" ".join(ws), min(shingle, len(ws))
-    starts = list(accumulate([0, *(len(w) + 1 for w in ws)]))
-    h = np.array([xxhash.xxh64_intdigest(line[s : e - 1], SEED) for s, e in zip(starts, starts[k:])], np.uint64)
+    h = shingle_hashes(ws, shingle)
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
