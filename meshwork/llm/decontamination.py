@@ -57,12 +57,12 @@ def prepare_items(benchmark: DataFrame, similarity: float = SIMILARITY) -> tuple
     """(items, shingles, anchors) of a benchmark table (item_id, text).
 
     items: rep, words, simhash; one row per distinct word sequence. shingles: rep,
-    h, n. anchors: h, at (shingles before it), words, rep. rep stands for all
-    item_ids of the same words; items without words are left out.
+    h, n. anchors: h, at (shingles before it), words, rep. rep is the word sequence's
+    hash and stands for all its item_ids; items without words are left out.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = materialize(items.select("item_id", F.size("ws").alias("words"), F.concat_ws(" ", "ws").alias("key"), "ws"), "items")
-    reps = items.groupBy("key").agg(F.min(F.struct(F.coalesce("item_id", F.lit(-(2**63)).cast("long")).alias("rep"), "words", "ws")).alias("x")).select("key", "x.*")
+    reps = items.groupBy("key").agg(F.min(F.struct("words", "ws")).alias("x")).select("key", F.xxhash64("key").alias("rep"), "x.*")
     hashes = shingle_array(F.col("ws"), F.least("words", F.lit(SHINGLE)))
     placed = materialize(reps, "reps").select("rep", "words", F.posexplode(hashes).alias("at", "h"))
     placed = materialize(placed, "placed")
@@ -124,7 +124,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     common = met.groupBy(*window, "rep", "m", "item_m").agg(F.sum(F.least("n", "item_n")).alias("both"))
     scored = common.withColumn("similarity", F.col("both") / (F.col("m") + F.col("item_m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
     best = scored.groupBy("doc_id", "rep").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "words")).alias("x"))
-    return best.join(ids, "rep").select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("first_word"), F.col("x.words").cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"))
+    best = best.join(ids, "rep").groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))  # an item may have several texts
+    return best.select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("first_word"), F.col("x.words").cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

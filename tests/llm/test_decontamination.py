@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from meshwork.llm.decontamination import find_leaks
+from meshwork.llm.decontamination import find_leaks, without_leaks
 
 
 def norm(t):
@@ -58,3 +58,13 @@ def test_equals_brute_force(spark):
     assert any(v < 1 for v in want.values())
     assert find_leaks(df.limit(0), bf).count() == 0 and find_leaks(df, bf.limit(0)).count() == 0
     assert {(r.doc_id, r.item_id) for r in find_leaks(df.unionByName(df), bf).collect()} == want.keys()
+
+
+def test_items_of_one_id_are_found_by_each_text(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(n)) for w, n in (("a", 20), ("b", 20), ("c", 40), ("d", 40))]
+    items = spark.createDataFrame(list(zip((None, None, 5, 5), texts)), "item_id long, text string")
+    rows = [(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, " x ".join(texts)), (10, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.first_word, r.n_words, r.similarity) for r in find_leaks(docs, items).collect()), key=str)
+    assert got == sorted([(0, None, 1, 20, 1.0), (1, None, 1, 20, 1.0), (2, 5, 1, 40, 1.0), (3, 5, 1, 40, 1.0), (9, None, 0, 20, 1.0), (9, 5, 42, 40, 1.0)], key=str)
+    assert [r.doc_id for r in without_leaks(docs, items).collect()] == [10]
