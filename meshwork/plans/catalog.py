@@ -412,13 +412,13 @@ def community_cc(spark, d):
 
 @query(f"{_H1_SCAN}, e AS (SELECT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid WHERE u <> w), s AS (SELECT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r FROM members), bfs AS (SELECT cid, v AS s, v AS u, 0 AS d FROM s WHERE r <= 10 UNION SELECT b.cid, b.s, e.w, b.d + 1 FROM bfs b JOIN e ON b.cid = e.cid AND b.u = e.u WHERE b.d < 16) SELECT cid, max(d) AS diameter FROM (SELECT cid, s, u, min(d) AS d FROM bfs GROUP BY cid, s, u) GROUP BY cid")
 def community_diameter(spark, d):
-    """Diameters of communities of parts, from ten starts."""
+    """Lower bounds of the diameters of communities of parts, from ten starts."""
     return metrics.diameter(edges := _h1_edges(spark, d), _h1_members(spark, d, edges))
 
 
 @query(f"{_H1_SCAN}, m AS (SELECT DISTINCT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r, count(*) OVER (PARTITION BY cid) AS n FROM (SELECT DISTINCT cid, v FROM members)), p AS (SELECT a.cid, a.v AS a, b.v AS b, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.s), 0) END AS j, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.c / sqrt(s.na::DOUBLE * s.nb)), 0) END AS k FROM m a JOIN m b ON a.cid = b.cid LEFT JOIN sim s ON s.u = a.v AND s.w = b.v WHERE a.r <= 100 GROUP BY a.cid, a.v, b.v) SELECT cid, round(avg(j), 9) AS avg_jaccard, round(avg(k), 9) AS avg_cosine FROM p GROUP BY cid")
 def community_pair_sim(spark, d):
-    """Mean similarity inside communities of parts."""
+    """Mean similarity of the 100 least members and all members, inside communities of parts."""
     got = metrics.pair_similarity(N.part_supply(spark, d), _h1_members(spark, d), [1, 2])
     return got.select("cid", F.round("avg_jaccard", 9).alias("avg_jaccard"), F.round("avg_cosine", 9).alias("avg_cosine"))
 
