@@ -18,7 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import words
+from ..session import broadcast_if_small
+from .ranges import range_cuts, run_of
+from .text import ROWS, words
 
 SHINGLE, BITS = 5, 4
 BIN_BITS = 9
@@ -27,6 +29,9 @@ BINS = 1 << BIN_BITS
 #: Words whose hashes a worker remembers before it starts anew.
 MEMORY = 400_000
 
+#: Characters of text in a run of ids, that is, of a task.
+RUN_CHARS = 16 << 20
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -114,29 +119,21 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return max(0.0, (float((a == b).mean()) - chance) / (1 - chance))
 
 
-def _marked(docs: DataFrame, rows_per_bucket: int) -> DataFrame:
+def _marked(docs: DataFrame, run_chars: int) -> tuple[DataFrame, int]:
     """(bucket, doc_id, text, extra): runs of descending ids; each run also has, as an extra row, what follows its last."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    n = docs.select("doc_id").count()
-    buckets = -(-n // rows_per_bucket)
-    cuts = []
-    if buckets > 1:
-        cuts = sorted(set(docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]))
-    # descending: bucket 0 has the largest ids. One pass over the bounds, which are few.
-    place = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        place = F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c < key))
-    tops = docs.select(place.alias("bucket"), key.alias("k")).groupBy("bucket").agg(F.max("k").alias("top")).orderBy("bucket").collect()
+    _, cuts = range_cuts(docs.withColumn("key", key), "key", run_chars)
+    place = F.lit(len(cuts)) - run_of(key, cuts)  # descending: bucket 0 has the largest ids
+    tops = docs.select(place.alias("bucket"), key.alias("k")).groupBy("bucket").agg(F.max("k").alias("top")).orderBy("bucket").collect()  # a row per run
     first = {r.top: tops[i - 1].bucket for i, r in enumerate(tops)}  # the head of a run ends the run before; the very first ends the last
     heads = docs.sparkSession.createDataFrame([(k, b) for k, b in first.items()], "head long, also int")
     plain = docs.select(place.cast("int").alias("bucket"), "doc_id", "text", F.lit(0).alias("extra"))
-    after = docs.join(F.broadcast(heads), key == F.col("head")).groupBy("also").agg(F.max(F.struct(key.alias("k"), "text", "doc_id")).alias("x")).select(F.col("also").alias("bucket"), "x.doc_id", "x.text", F.lit(1).alias("extra"))
-    return plain.unionByName(after), max(1, len(tops))
+    after = docs.join(broadcast_if_small(heads), key == F.col("head")).groupBy("also").agg(F.max(F.struct(key.alias("k"), "text", "doc_id")).alias("x"))
+    return plain.unionByName(after.select(F.col("also").alias("bucket"), "x.doc_id", "x.text", F.lit(1).alias("extra"))), max(1, len(tops))
 
 
-def fingerprint_neighbours(docs: DataFrame, rows_per_bucket: int = 2_000) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     """Fingerprints of each document and of its edited text, and what they tell of their likeness.
 
     The edited text has the last floor(n/2) code points replaced by the first as
@@ -146,14 +143,13 @@ def fingerprint_neighbours(docs: DataFrame, rows_per_bucket: int = 2_000) -> Dat
     words have the empty fingerprint; an only document is its own next; an empty
     table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows, buckets = _marked(docs, rows_per_bucket)
+    rows, buckets = _marked(docs, run_chars)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             out = []
             for bucket, doc, text, extra in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "extra")), strict=True):
                 print_ = fingerprint(words(text))
@@ -166,7 +162,6 @@ def fingerprint_neighbours(docs: DataFrame, rows_per_bucket: int = 2_000) -> Dat
                 held = None if extra else (bucket, doc, text, print_)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 7, arrow, strict=True)], schema=arrow)
 
-    n = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    ordered = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", key.desc(), F.col("text").desc())
+    ordered = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "extra", key.desc(), F.col("text").desc())
     return ordered.mapInArrow(run, schema)

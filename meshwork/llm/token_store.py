@@ -6,16 +6,18 @@ it lives wherever Spark's file systems reach:
 ``dictionary``  one row: hash (SHA-256, hex) and bytes of the zstandard
     dictionary, the width of an id in bytes, the tokenizer's name.
 ``shards``      one row per run of documents in ascending doc_id order: bucket,
-    chunk, start (ids of all documents before it), first_doc, last_doc, dict_hash,
-    index and payload. The index has for each document doc_id (int64), offset in
-    the payload (uint32), n_tokens (uint32), little-endian. The payload is the
-    frames, one after another. A single document is read from its shard's row by
+    chunk, ahead (ids of the bucket's documents before it), first_doc, last_doc,
+    dict_hash, index and payload. The index has for each document doc_id (int64),
+    offset in the payload (uint32), n_tokens (uint32), little-endian. The payload is
+    the frames, one after another. A single document is read from its shard's row by
     decompressing its own frame only.
 
-Ids are serialised little-endian in two bytes where the vocabulary allows it,
-else in four. The dictionary is trained on a bounded sample of serialised
-documents (``sample_docs``, those of the smallest hashed ids); it affects the size
-only. All documents are encoded, whole.
+Buckets are runs of doc_id with about BUCKET_CHARS of text, so a task's share stays
+the same however large the table is. Ids are serialised little-endian in two bytes
+where the vocabulary allows it, else in four. The dictionary is trained on a bounded
+sample of documents (``sample_docs`` expected, twice as many at most, by a hash of id
+and text), whole, in pieces of SAMPLE_IDS ids; it affects the size only. All
+documents are encoded, whole.
 """
 
 from __future__ import annotations
@@ -30,21 +32,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from .text import map_texts
+from ..session import broadcast_if_small, shared_dir
+from .ranges import range_cuts
+from .text import ROWS, map_texts
 
-#: Documents that the dictionary is trained on, ids of each that are used, and its size.
+#: Documents that the dictionary is trained on, ids of a piece of them, and its size.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2_000, 4_096, 64 << 10
 
-#: Payload after which a shard row is closed.
-SHARD_BYTES = 4 << 20
+#: Characters of a bucket, payload after which a shard row is closed, bytes of a Parquet row group of shards.
+BUCKET_CHARS, SHARD_BYTES, GROUP_BYTES = 16 << 20, 1 << 20, 8 << 20
 
-#: Segments that a worker remembers before it starts anew, and that go to the library as one text.
-MEMORY, JOINT = 600_000, 200
+#: Bytes of remembered segments after which a worker starts anew, besides OWN of each, and segments that go to the library as one text.
+MEMORY, OWN, JOINT = 96 << 20, 220, 200
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u4"), ("n_tokens", "<u4")])
 _SPACED = re.compile(r"\s ")
@@ -69,6 +71,7 @@ class SegmentEncoder:
         special = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in special.values()]
         self.known: dict[str, bytes] = {}
+        self.held = 0
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max([*vocab.values(), *special]) + 1, np.int64)
         for token, i in vocab.items():
@@ -90,6 +93,7 @@ class SegmentEncoder:
             for s, end in zip(run, (4 * ends).tolist(), strict=True):
                 self.known[s] = raw[start:end]
                 start = end
+        self.held += sum(map(len, new)) + sum(len(self.known[s]) for s in new) + OWN * len(new)
 
     def _cut(self, text: str) -> list[str] | None:
         """Segments of a text, or None where it must stay whole."""
@@ -100,8 +104,9 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cut = [self._cut(t) for t in texts]
-        if len(self.known) > MEMORY:
+        if self.held > MEMORY:
             self.known.clear()
+            self.held = 0
         every = set()
         for c in cut:
             every.update(c or ())
@@ -132,38 +137,39 @@ def _frames(dictionary: bytes):
     )
 
 
-def _bounds(ids: DataFrame, buckets: int) -> list[int]:
-    """Rough quantiles of doc_id that cut the table into runs of like length."""
-    if buckets < 2:
-        return []
-    got = ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first().q
-    return sorted(set(got or []))
+def _sample(docs: DataFrame, rows: int, sample_docs: int) -> DataFrame:
+    """About ``sample_docs`` of ``rows`` documents, by a hash; copies under one id count once, twice as many are the most."""
+    space = 1 << 40
+    share = min(space, -(-space * sample_docs // max(1, rows)))
+    chosen = docs.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(space)) < share)
+    return chosen.dropDuplicates(["h"]).select("doc_id", "text").limit(2 * sample_docs)
 
 
-def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, rows_per_bucket: int = 4_000, sample_docs: int = SAMPLE_DOCS) -> str:
+def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, bucket_chars: int = BUCKET_CHARS, sample_docs: int = SAMPLE_DOCS) -> str:
     """Encode ``docs`` (doc_id, text) with the tokenizer file at ``path`` into the folder ``store``.
 
     Each document's ids end with ``end_id``. A null text is an empty one; a null
     doc_id sorts first and is kept as the smallest long; rows that share a doc_id
-    are all kept, ordered by their ids' bytes. Returns ``store``.
+    are all kept, ordered by their frames' bytes. Returns ``store``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = docs.select("doc_id").persist(StorageLevel.DISK_ONLY)
-    total = ids.count()
-    cuts = _bounds(ids, -(-total // rows_per_bucket))
-    chosen = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-    ids.unpersist()
+    rows, cuts = range_cuts(docs, "doc_id", bucket_chars)
     end = np.array([end_id], "<u4").tobytes()
     width = 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     narrow = (lambda raw: np.frombuffer(raw, "<u4").astype("<u2").tobytes()) if width == 2 else (lambda raw: raw)
 
     def sample():
         enc = encoder(path)
-        return lambda ids, texts: {"raw": [narrow(x[: SAMPLE_IDS * 4]) for x in enc.encode(texts)]}
 
-    some = docs.join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long").distinct()), "doc_id", "left_semi") if chosen else docs
-    dictionary = train_dictionary(sorted(bytes(r.raw) for r in map_texts(some, sample, "raw binary").toLocalIterator()))
+        def run(ids, texts):
+            raw = [narrow(x) for x in enc.encode(texts)]
+            return {"raw": [x[i : i + SAMPLE_IDS * width] for x in raw for i in range(0, len(x), SAMPLE_IDS * width)]}
+
+        return run
+
+    pieces = sorted(bytes(r.raw) for r in map_texts(_sample(docs, rows, sample_docs), sample, "raw binary").toLocalIterator())
+    dictionary = train_dictionary(pieces)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, dictionary, width, path.rpartition("/")[2])], "hash string, bytes binary, width int, tokenizer string").coalesce(1).write.parquet(f"{store}/dictionary")
 
@@ -172,58 +178,60 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, rows_pe
 
         def run(ids, texts):
             raw = [x + end for x in enc.encode(texts)]
-            return {"doc_id": ids, "bucket": np.searchsorted(cuts, ids, "left").tolist() if cuts else [0] * len(ids), "n_tokens": [len(x) // 4 for x in raw], "frame": [pack.compress(narrow(x)) for x in raw]}
+            return {"doc_id": ids, "bucket": np.searchsorted(cuts, ids, "left").tolist() if len(cuts) else [0] * len(ids), "n_tokens": [len(x) // 4 for x in raw], "frame": [pack.compress(narrow(x)) for x in raw]}
 
         return run
 
     coded = map_texts(docs, encode, "doc_id long, bucket long, n_tokens long, frame binary")
-    n = max(1, min(len(cuts) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "chunk", "n_docs", "n_tokens", "first_doc", "last_doc", "dict_hash", "index", "payload"]
-        bucket, chunk, index, frames, size = None, 0, [], [], 0
+        names = ["bucket", "chunk", "ahead", "n_docs", "n_tokens", "first_doc", "last_doc", "dict_hash", "index", "payload"]
+        bucket, chunk, ahead, index, frames, size = None, 0, 0, [], [], 0
+        encoder.cache_clear()  # what earlier tasks of this worker have remembered
 
         def row():
             made = np.array(index, _INDEX)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((bucket, pa.int64()), (chunk, pa.int64()), (len(index), pa.int64()), (int(made["n_tokens"].sum(dtype=np.int64)), pa.int64()), (index[0][0], pa.int64()), (index[-1][0], pa.int64()), (digest, pa.string()), (made.tobytes(), pa.binary()), (b"".join(frames), pa.binary()))], names=names)
+            n = int(made["n_tokens"].sum(dtype=np.int64))
+            values = (bucket, chunk, ahead, len(index), n, index[0][0], index[-1][0], digest, made.tobytes(), b"".join(frames))
+            kinds = (*[pa.int64()] * 7, pa.string(), pa.binary(), pa.binary())
+            return n, pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=names)
 
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             for k, doc, tokens, frame in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "n_tokens", "frame")), strict=True):
                 if index and (k != bucket or size >= SHARD_BYTES):
-                    yield row()
-                    chunk, index, frames, size = chunk + 1 if k == bucket else 0, [], [], 0
+                    n, made = row()
+                    yield made
+                    chunk, ahead, index, frames, size = (chunk + 1, ahead + n, [], [], 0) if k == bucket else (0, 0, [], [], 0)
                 bucket = k
                 index.append((doc, size, tokens))
                 frames.append(frame)
                 size += len(frame)
         if index:
-            yield row()
+            yield row()[1]
 
-    ordered = coded.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "frame").select("bucket", "doc_id", "n_tokens", "frame")
-    ordered.mapInArrow(pack, "bucket long, chunk long, n_docs long, n_tokens long, first_doc long, last_doc long, dict_hash string, index binary, payload binary").write.option("compression", "none").parquet(f"{store}/shards")
+    ordered = coded.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "frame").select("bucket", "doc_id", "n_tokens", "frame")
+    packed = ordered.mapInArrow(pack, "bucket long, chunk long, ahead long, n_docs long, n_tokens long, first_doc long, last_doc long, dict_hash string, index binary, payload binary")
+    packed.write.option("compression", "none").option("parquet.block.size", GROUP_BYTES).parquet(f"{store}/shards")
     return store
 
 
 def open_store(spark: SparkSession, store: str) -> tuple[DataFrame, bytes, int]:
-    """(shards with start, dictionary, width of an id); raises where a shard names another dictionary."""
+    """(shards with start, dictionary, width of an id); raises where a shard names another dictionary.
+
+    start adds the ids of the buckets before to those of the bucket's documents
+    before; one row of two numbers per bucket is handed out, no payload moves.
+    """
     d = spark.read.parquet(f"{store}/dictionary").first()
     dictionary = bytes(d.bytes)
     if hashlib.sha256(dictionary).hexdigest() != d.hash:
         raise ValueError(f"{store}: the dictionary doesn't have its hash")
     shards = spark.read.parquet(f"{store}/shards")
-    # a row of three numbers per bucket, then per chunk: ids before it
-    per = shards.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
-    starts = {r.bucket: r.n for r in per.collect()}
     at, rows = 0, []
-    for b in sorted(starts):
-        rows.append((b, at))
-        at += starts[b]
-    base = spark.createDataFrame(rows, "bucket long, base long")
-    from pyspark.sql import Window
-
-    heads = shards.select("bucket", "chunk", "n_tokens").withColumn("ahead", F.sum("n_tokens").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    heads = heads.join(base, "bucket").select("bucket", "chunk", (F.col("base") + F.coalesce("ahead", F.lit(0))).alias("start"))
-    return shards.join(heads, ["bucket", "chunk"]), dictionary, d.width
+    for r in shards.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).orderBy("bucket").toLocalIterator():
+        rows.append((r.bucket, at))
+        at += r.n
+    base = broadcast_if_small(spark.createDataFrame(rows, "bucket long, base long"))
+    return shards.join(base, "bucket").withColumn("start", F.col("base") + F.col("ahead")), dictionary, d.width
 
 
 def _decode(payload: bytes, index: np.ndarray, which: Iterator[int], dictionary: bytes, width: int) -> Iterator[np.ndarray]:
@@ -240,14 +248,15 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for named, start, raw, payload in zip(*(b.column(c).to_pylist() for c in ("dict_hash", "start", "index", "payload")), strict=True):
-                if named != digest:
-                    raise ValueError(f"{store}: a shard was written with dictionary {named}")
-                index = np.frombuffer(raw, _INDEX)
-                n = index["n_tokens"].astype(np.int64)
-                crc = [zlib.crc32(x.tobytes()) for x in _decode(payload, index, range(len(index)), dictionary, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((index["doc_id"], pa.int64()), (start + np.cumsum(n) - n, pa.int64()), (n, pa.int64()), (crc, pa.int64()))], schema=schema)
+        encoder.cache_clear()
+        for b in (b.slice(i, 1) for b in batches for i in range(len(b))):  # a shard at a time
+            named, start, raw, payload = (b.column(c)[0] for c in ("dict_hash", "start", "index", "payload"))
+            if named.as_py() != digest:
+                raise ValueError(f"{store}: a shard was written with dictionary {named}")
+            index = np.frombuffer(raw.as_buffer(), _INDEX)
+            n = index["n_tokens"].astype(np.int64)
+            crc = [zlib.crc32(x.tobytes()) for x in _decode(payload.as_buffer(), index, range(len(index)), dictionary, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((index["doc_id"], pa.int64()), (start.as_py() + np.cumsum(n) - n, pa.int64()), (n, pa.int64()), (crc, pa.int64()))], schema=schema)
 
     got = shards.select("dict_hash", "start", "index", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return got.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63)).cast("long")))

@@ -38,7 +38,7 @@ def test_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_BYTES", 200)
     rows = [(i * 7 % 101, f"text number {i} " * (i % 9)) for i in range(101)] + [(500, None), (None, "no id"), (400, "x" * 9000)]
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, n_tokens string")
-    store = write_store(df, PATH, str(tmp_path / "s"), rows_per_bucket=10, sample_docs=50)
+    store = write_store(df, PATH, str(tmp_path / "s"), bucket_chars=300, sample_docs=50)
     got = sorted(map(tuple, token_store.read_store(spark, store).collect()), key=lambda r: r[1])
     assert got == expected(rows)
     assert open_store(spark, store)[0].count() > 10
