@@ -1,21 +1,24 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 Words are runs of letters and digits in lower case; shingles are five words
-(an item of fewer words is one shingle). A window has as many words as an item.
+(an item of fewer words is one shingle). A window has as many words as an item,
+or fewer where the text is shorter or ends.
 
 1. Windows. A window whose weighted shingle similarity with an item reaches
-   ``similarity`` = j misses at most (1 - 2j / (1 + j)) of the item's shingle
-   occurrences, so of one more distinct shingles than that, the item's anchors, it
-   has at least one. Every place where an anchor occurs in a document gives the
-   window aligned with the item there; no other window can reach j.
+   ``similarity`` = j has at least j of the item's shingle occurrences. So of the
+   item's rarest distinct shingles, one more than it may miss, its anchors, the
+   window has one; and j of the item's occurrences lie within its places. The
+   documents' shingles are compared with the anchors; the documents that have one
+   are read once more, and every start is taken from which enough places with the
+   item's shingles are in reach. No other window can reach j.
 2. Fingerprints. Each window's and each item's shingles, weighted by their number
    of occurrences, make a 64-bit SimHash.
 3. Candidates. Eight blocks of eight bits: of two fingerprints within RADIUS = 23
    bits some block differs in at most two, so each window visits, per block, the
-   37 values within two bits. That gives every pair within the radius, as the
-   visits are only split further by what a pair must share anyway: the number of
-   words and an anchor. Two sets with j = 0.8 have an angle of 0.476, hence 9.7
-   differing bits on average with deviation 2.9; the radius is 4.6 deviations up.
+   37 values within two bits. That gives every pair of a window and an item of its
+   size within the radius, whichever item the window was taken for. Two sets with
+   j = 0.8 have an angle of 0.476, hence 9.7 differing bits on average with
+   deviation 2.9; the radius is 4.6 deviations up.
 4. Verification. sum of least over sum of greatest occurrences, over all
    shingles of window and item, at least j.
 """
@@ -53,34 +56,58 @@ def _simhash(shingles: DataFrame, keys: list[str]) -> DataFrame:
     return got.select(*keys, "m", out.alias("simhash"))
 
 
-def prepare_items(benchmark: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, shingles, anchors) of a benchmark table (item_id, text).
+def prepare_items(benchmark: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, shingles, anchors, ids) of a benchmark table (item_id, text).
 
-    items: rep, words, simhash; one row per distinct word sequence. shingles: rep,
-    h, n. anchors: h, at (shingles before it), words, rep. rep is the word sequence's
-    hash and stands for all its item_ids; items without words are left out.
+    items: rep, words, m, simhash; one row per distinct word sequence. shingles: rep,
+    words, h, n. anchors: h, words, rep. ids: item_id, rep. rep is the word
+    sequence's hash; items without words are left out.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = materialize(items.select("item_id", F.size("ws").alias("words"), F.concat_ws(" ", "ws").alias("key"), "ws"), "items")
     reps = items.groupBy("key").agg(F.min(F.struct("words", "ws")).alias("x")).select("key", F.xxhash64("key").alias("rep"), "x.*")
+    reps = materialize(reps, "reps")
     hashes = shingle_array(F.col("ws"), F.least("words", F.lit(SHINGLE)))
-    placed = materialize(reps, "reps").select("rep", "words", F.posexplode(hashes).alias("at", "h"))
-    placed = materialize(placed, "placed")
-    shingles = materialize(placed.groupBy("rep", "words", "h").agg(F.count("*").alias("n")), "shingles")
-    common = placed.groupBy("h").agg(F.countDistinct("rep").alias("items"))
+    shingles = materialize(reps.select("rep", "words", F.explode(hashes).alias("h")).groupBy("rep", "words", "h").agg(F.count("*").alias("n")), "shingles")
+    common = shingles.groupBy("h").agg(F.count("*").alias("items"))
     ranked = shingles.join(common, "h").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("items", "h")))
-    missing = F.floor((F.greatest("words", F.lit(SHINGLE)) - SHINGLE + 1) * F.lit(1 - 2 * similarity / (1 + similarity)) + F.lit(1e-9))
-    chosen = ranked.where(F.col("rank") <= missing + 1).select("rep", "h")
-    anchors = placed.join(chosen, ["rep", "h"]).select("h", "at", "words", "rep")
-    prints = _simhash(shingles, ["rep", "words"])
+    missing = F.floor(_places("words") * F.lit(1 - similarity) + F.lit(1e-9))
+    anchors = ranked.where(F.col("rank") <= missing + 1).select("h", "words", "rep")
     ids = items.join(reps.select("key", "rep"), "key").select("item_id", "rep")
-    return materialize(prints, "item-prints"), shingles, materialize(anchors, "anchors"), materialize(ids, "item-ids")
+    return materialize(_simhash(shingles, ["rep", "words"]), "item-prints"), shingles, materialize(anchors, "anchors"), materialize(ids, "item-ids")
+
+
+def _places(words: str) -> Column:
+    """Shingles of a full window of so many words."""
+    return F.greatest(F.col(words), F.lit(SHINGLE)) - SHINGLE + 1
 
 
 def _blocks(x: Column) -> Column:
     return F.array(*[F.shiftright(x, BLOCK * i).bitwiseAND(F.lit(2**BLOCK - 1)).cast("int") for i in range(64 // BLOCK)])
 
 
+def _spread(docs: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """keys, pos and h of every shingle of k words."""
+    read = docs.select(*keys, word_array(F.col("text")).alias("ws"))
+    return read.select(*keys, F.posexplode(shingle_array(F.col("ws"), F.lit(k))).alias("pos", "h"))
+
+
+def _windows(texts: DataFrame, shingles: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+    """(row, first, words): every window with as many of an item's shingles as ``similarity`` takes; texts: row, text, reps."""
+    parts = None
+    for k in sizes:
+        mine = materialize(shingles.where(F.least("words", F.lit(SHINGLE)) == k).select("rep", "words", "h"), "mine")
+        met = _spread(texts, ["row", "reps"], k).join(broadcast_if_small(mine), "h").where(F.array_contains("reps", F.col("rep"))).select("row", "rep", "words", "pos")
+        parts = met if parts is None else parts.unionByName(met)
+    need = F.greatest(F.ceil(_places("words") * F.lit(similarity) - F.lit(1e-9)), F.lit(1)).cast("int")
+    # of a document's places with an item's shingles, ascending: each and the one with which there are enough
+    placed = parts.groupBy("row", "rep", "words").agg(F.sort_array(F.collect_list("pos")).alias("ps")).withColumn("need", need).where(F.size("ps") >= F.col("need"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("ps") - F.col("need")), lambda i: F.struct(F.get("ps", i).alias("first"), F.get("ps", i + F.col("need") - 1).alias("last")))
+    near = placed.select("row", "words", F.explode(runs).alias("r")).where(F.col("r.last") - F.col("r.first") < _places("words"))
+    low = F.greatest(F.col("r.last") - _places("words") + 1, F.lit(0))
+    return near.select("row", "words", F.explode(F.sequence(low, F.col("r.first"))).alias("first")).distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, first_word, n_words and similarity of every pair of a document and an item that it has.
 
@@ -88,57 +115,48 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     doc_id count as one document with several texts. Null and empty texts and
     items without words match nothing; items of equal words are all reported;
     a null doc_id or item_id is an id like any other; either table may be empty;
-    other columns are ignored. ``similarity`` is 0.5 at least.
+    other columns are ignored. ``similarity`` is 0.8 at least, for which RADIUS is made.
     """
     items, item_shingles, anchors, ids = prepare_items(benchmark, similarity)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
-    starts = anchors.select("h", "at", "words").distinct()
-    hits = None
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("row"))  # copies of a text are one row
     sizes = sorted(r.k for r in anchors.select(F.least("words", F.lit(SHINGLE)).alias("k")).distinct().collect()) or [SHINGLE]
+    hits = None
     for k in sizes:
-        spread = docs.select("doc_id", "body", word_array(F.col("text")).alias("ws")).select("doc_id", "body", F.posexplode(shingle_array(F.col("ws"), F.lit(k))).alias("pos", "h"))
-        mine = materialize(starts.where(F.least("words", F.lit(SHINGLE)) == k), "starts")
-        got = spread.join(broadcast_if_small(mine), "h").select("doc_id", "body", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("first"), "words", F.col("h").alias("anchor"))
+        mine = materialize(anchors.where(F.least("words", F.lit(SHINGLE)) == k).select("h").distinct(), "anchor-hashes")
+        got = _spread(docs, ["doc_id", "row"], k).join(broadcast_if_small(mine), "h").select("doc_id", "row", "h", F.lit(k).alias("k"))
         hits = got if hits is None else hits.unionByName(got)
     hits = materialize(hits.distinct(), "hits")
-    places = materialize(hits.select("doc_id", "body", "first", "words").distinct(), "places")
-    # the windows' own shingles: documents with hits are read once more
-    where = places.groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "words")).alias("places"))
-    w = materialize(where, "where").select(F.col("doc_id").alias("d"), F.col("body").alias("bd"), "places")
-    texts = docs.join(broadcast_if_small(w, 50_000), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("bd"))).dropDuplicates(["doc_id", "body"])
-    texts = texts.select("doc_id", "body", word_array(F.col("text")).alias("ws"), "places").select("doc_id", "body", "ws", F.explode("places").alias("p"))
-    cut = texts.select("doc_id", "body", F.col("p.first").alias("first"), F.col("p.words").alias("words"), F.slice("ws", F.col("p.first") + 1, F.col("p.words")).alias("ws"))
+    mine = anchors.select("h", "rep", F.least("words", F.lit(SHINGLE)).alias("k"))
+    met = materialize(hits.select("row", "h", "k").distinct().join(broadcast_if_small(mine), ["h", "k"]).select("row", "rep").distinct(), "met")
+    # the texts with an anchor are read once more
+    asked = materialize(met.groupBy("row").agg(F.collect_set("rep").alias("reps")), "asked")
+    texts = docs.join(broadcast_if_small(asked.select("row")), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    texts = materialize(texts.join(asked, "row"), "texts")
+    places = materialize(_windows(texts, item_shingles, sizes, similarity), "places")
+    cut = texts.select("row", word_array(F.col("text")).alias("ws")).join(places, "row").select("row", "first", "words", F.slice("ws", F.col("first") + 1, F.col("words")).alias("ws"))
     hashes = shingle_array(F.col("ws"), F.least("words", F.lit(SHINGLE)))
-    window = ["doc_id", "body", "first", "words"]
+    window = ["row", "first", "words"]
     shingles = materialize(cut.select(*window, F.explode(hashes).alias("h")).groupBy(*window, "h").agg(F.count("*").alias("n")), "window-shingles")
     prints = materialize(_simhash(shingles, window), "window-prints")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["body"] == b["body"]) & (a["first"] == b["first"]) & (a["words"] == b["words"])
-    anchored = prints.alias("p").join(hits.alias("t"), same(_named("p"), _named("t"))).select("p.*", "t.anchor")
-    probe = anchored.select(*window, "simhash", "m", "anchor", F.posexplode(_blocks(F.col("simhash"))).alias("block", "v"))
-    probe = probe.select(*window, "simhash", "m", "anchor", "block", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in _FLIPS])).alias("v"))
-    index = items.join(anchors.select("rep", F.col("h").alias("anchor")).distinct(), "rep").select("rep", F.col("words"), F.col("m").alias("item_m"), F.col("simhash").alias("item_hash"), "anchor", F.posexplode(_blocks(F.col("simhash"))).alias("block", "v"))
-    near = probe.join(index, ["words", "anchor", "block", "v"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_hash"))) <= RADIUS)
+    probe = prints.select(*window, "simhash", "m", F.posexplode(_blocks(F.col("simhash"))).alias("block", "v"))
+    probe = probe.select(*window, "simhash", "m", "block", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in _FLIPS])).alias("v"))
+    index = items.select("rep", "words", F.col("m").alias("item_m"), F.col("simhash").alias("item_hash"), F.posexplode(_blocks(F.col("simhash"))).alias("block", "v"))
+    index = materialize(index, "blocks")
+    near = probe.join(broadcast_if_small(index), ["words", "block", "v"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_hash"))) <= RADIUS)
     pairs = materialize(near.select(*window, "m", "rep", "item_m").distinct(), "pairs")
     other = item_shingles.select("rep", "h", F.col("n").alias("item_n"))
-    met = pairs.alias("p").join(shingles.alias("s"), same(_named("p"), _named("s"))).select("p.*", "s.h", "s.n").join(other, ["rep", "h"])
-    common = met.groupBy(*window, "rep", "m", "item_m").agg(F.sum(F.least("n", "item_n")).alias("both"))
-    scored = common.withColumn("similarity", F.col("both") / (F.col("m") + F.col("item_m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
-    best = scored.groupBy("doc_id", "rep").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "words")).alias("x"))
-    best = best.join(ids, "rep").groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))  # an item may have several texts
+    both = pairs.join(shingles, window).join(broadcast_if_small(other), ["rep", "h"]).groupBy(*window, "rep", "m", "item_m").agg(F.sum(F.least("n", "item_n")).alias("both"))
+    scored = both.withColumn("similarity", F.col("both") / (F.col("m") + F.col("item_m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
+    best = scored.groupBy("row", "rep").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "words")).alias("x"))
+    best = best.join(ids, "rep").join(hits.select("doc_id", "row").distinct(), "row")  # an item, and a document, may have several texts
+    best = best.groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("first_word"), F.col("x.words").cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose document has no benchmark item, as they are."""
+    """The rows of ``docs`` whose document has no benchmark item, as they are; repeated rows stay repeated.
+
+    A null doc_id is an id like any other; an empty table gives an empty result.
+    """
     bad = find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked")).distinct()
     return docs.join(broadcast_if_small(materialize(bad, "leaked")), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
-
-
-class _named:
-    """Columns of a frame by its alias."""
-
-    def __init__(self, alias: str):
-        self.alias = alias
-
-    def __getitem__(self, name: str) -> Column:
-        return F.col(f"{self.alias}.{name}")

@@ -68,3 +68,38 @@ def test_items_of_one_id_are_found_by_each_text(spark):
     got = sorted(((r.doc_id, r.item_id, r.first_word, r.n_words, r.similarity) for r in find_leaks(docs, items).collect()), key=str)
     assert got == sorted([(0, None, 1, 20, 1.0), (1, None, 1, 20, 1.0), (2, 5, 1, 40, 1.0), (3, 5, 1, 40, 1.0), (9, None, 0, 20, 1.0), (9, 5, 42, 40, 1.0)], key=str)
     assert [r.doc_id for r in without_leaks(docs, items).collect()] == [10]
+
+
+def test_changed_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate((50, 50, 50, 25, 25, 30, 60, 12))]
+    items.append((50, " ".join(items[0][1].split()[:47] + ["x", "y", "z"])))  # another item's windows reach it too
+    docs = []
+    for d in range(120):
+        its = rng.choice(items)[1].split()
+        kind, at = d % 6, rng.randrange(len(its))
+        if kind == 0:  # rotated, halves swapped among them
+            its = its[at:] + its[:at] if d % 12 else its[len(its) // 2 :] + its[: len(its) // 2]
+        elif kind == 1:
+            its[at:at] = ["new"] * rng.randint(1, 3)
+        elif kind == 2:
+            del its[at : at + rng.randint(1, 4)]
+        elif kind == 3:
+            its[at] = "other"
+        elif kind == 4:  # pieces reordered
+            third = len(its) // 3
+            its = its[2 * third :] + its[:third] + its[third : 2 * third]
+        else:  # the text ends within the passage
+            its = its[: len(its) - rng.randint(0, len(its) // 4)]
+        before = [f"v{rng.randrange(400)}" for _ in range(rng.randint(0, 60))]
+        after = [] if kind == 5 else [f"v{rng.randrange(400)}" for _ in range(rng.randint(0, 60))]
+        docs.append((d, " ".join(before + its + after)))
+    docs.append((500, " ".join(f"u{i}" for i in range(30_000)) + " " + items[6][1] + " tail" * 100))
+    docs += [(501, items[3][1]), (502, items[3][1]), (None, items[3][1])]
+    rows = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got, want = {(r.doc_id, r.item_id): r.similarity for r in rows}, brute(docs, items)
+    assert got.keys() == want.keys() and len(got) == len(rows) and len(want) > 50
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    swapped = items[0][1].split()
+    one = spark.createDataFrame([(1, " ".join(swapped[25:] + swapped[:25])), (2, " ".join(swapped[30:] + swapped[:30]))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(one, spark.createDataFrame(items[:1], "item_id long, text string")).collect()} == {(1, 0), (2, 0)}
