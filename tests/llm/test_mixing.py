@@ -2,8 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from meshwork.llm.mixing import mix_sources, multipliers
+from meshwork.llm.mixing import mix_sources, mixed_documents, multipliers
 
 
 def reshared(sizes, weights, share, cap):
@@ -49,15 +50,42 @@ def test_targets_and_copies(spark, sources):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mix_sources(df.repartition(3)).collect()))
 
 
-def test_prior_rates_meet_the_constraint(spark):
+def test_rates_solve_the_convex_problem(spark):
+    """Each source's multiplier, found by bisection over documents, gives the same rates; they differ inside a source."""
     rng = random.Random(2)
-    cells = [(s, rng.choice([0.1, 0.5, 1.0, 2.0, 5.0]), float(rng.randint(1, 500))) for s in "abc" for _ in range(30)]
-    total = {s: sum(c[2] for c in cells if c[0] == s) for s in "abc"}
-    goals = [("a", 1, total["a"] * 2.9), ("b", 1, total["b"] * 0.01), ("c", 1, total["c"] * 3)]
-    cf = spark.createDataFrame(cells, "source string, q double, size double").groupBy("source", "q").agg({"size": "sum"}).withColumnRenamed("sum(size)", "size")
-    lam = {r.source: r.lam for r in multipliers(cf, spark.createDataFrame(goals, "source string, source_size long, target double"), 3).collect()}
+    docs = [(s, rng.choice([0.1, 0.5, 1.0, 2.0, 5.0]), int(rng.expovariate(1 / 80)) + 1) for s in "abcd" for _ in range(200)]
+    size = {s: sum(x for t, _, x in docs if t == s) for s in "abcd"}
+    goals = [("a", size["a"], size["a"] * 2.5), ("b", size["b"], size["b"] * 0.05), ("c", size["c"], size["c"] * 3.0), ("d", size["d"], 0.0)]
+    cells = spark.createDataFrame(docs, "source string, q double, size long").groupBy("source", "q", "size").count().withColumnRenamed("count", "n")
+    found = {r.source: r for r in multipliers(cells, spark.createDataFrame(goals, "source string, source_size long, target double"), 3).collect()}
     for s, _, t in goals:
-        assert math.isclose(sum(n * min(3, q * math.exp(lam[s])) for x, q, n in cells if x == s), t, rel_tol=1e-8)
+        own = [(q, x) for u, q, x in docs if u == s]
+        mean = sum(x for _, x in own) / len(own)
+        rates = lambda lam: [min(3, q * math.exp(min(700, lam * x / mean))) for q, x in own]  # noqa: E731, B023
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(r * x for r, (_, x) in zip(rates(mid), own)) < t else (lo, mid)
+        got = rates(found[s].lam)
+        assert math.isclose(sum(r * x for r, (_, x) in zip(got, own)), t, rel_tol=1e-8, abs_tol=1e-6)
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip(got, rates((lo + hi) / 2)))
+    assert len({round(min(3, math.exp(found["b"].lam * x / 80)), 6) for u, _, x in docs if u == "b"}) > 50
+
+
+def test_repeats_are_rounded_each_on_its_own(spark):
+    data = [(7, "w " * 10, "a")] * 100 + [(100 + i, "v " * 10, "b") for i in range(100)] + [(None, "u " * 10, "c")] * 100
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    runs = [mix_sources(df.repartition(n), weights=(10, 4, 2)).collect() for n in (1, 4)]
+    assert sorted(map(tuple, runs[0]), key=str) == sorted(map(tuple, runs[1]), key=str)
+    for target in {r.target for r in runs[0]}:
+        assert abs(sum(r.taken for r in runs[0] if r.target == target) - target) <= 10
+    mixed = mixed_documents(df.withColumn("row", F.lit("x")), weights=(10, 4, 2))
+    assert mixed.columns == ["doc_id", "text", "source", "row"] and mixed.count() == sum(r.copies for r in runs[0])
+
+
+def test_rates_differ_inside_a_source(spark):
+    got = mix_sources(spark.createDataFrame(rows(3, 600, ["a", "b", "c"]), "doc_id long, text string, source string")).collect()
+    assert all(len({r.rate for r in got if r.target == t and r["size"]}) > 30 for t in {r.target for r in got})
 
 
 def test_odd_rows(spark):
