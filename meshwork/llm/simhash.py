@@ -42,9 +42,11 @@ def shingle_hashes(ws: list[bytes], shingle: int) -> np.ndarray:
 
 def fingerprint(ws: list[bytes], shingle: int = 3) -> int:
     """SimHash of the shingles, repeats included, as an unsigned 64-bit number; 0 without words."""
-    if not ws:
-        return 0
-    h = shingle_hashes(ws, shingle)
+    return simhash_of(shingle_hashes(ws, shingle))
+
+
+def simhash_of(h: np.ndarray) -> int:
+    """SimHash of hashes; 0 of none."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -108,7 +110,11 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     rows come back repeated; an empty table gives an empty result; other columns
     are ignored.
     """
-    prints = materialize(fingerprints(docs, shingle), "simhash")
+    return group_prints(materialize(fingerprints(docs, shingle), "simhash")).select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
+def group_prints(prints: DataFrame) -> DataFrame:
+    """doc_id, simhash, component_id and links of materialised ``prints`` (doc_id, simhash): see :func:`near_groups`."""
     nodes = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")), "nodes")
     pairs = materialize(near_pairs(nodes.select("simhash")), "pairs")
     groups = connected_components(pairs)
@@ -117,7 +123,7 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "component").select(F.col("node").alias("simhash"), "component_id", "links")
     every = nodes.join(named, "simhash", "left").select("simhash", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return prints.join(every, "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    return prints.join(every, "simhash").select("doc_id", "simhash", "component_id", "links")
 
 
 def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:

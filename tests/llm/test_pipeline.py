@@ -7,8 +7,9 @@ import pytest
 import tokenizers
 
 import corpus_pipeline
-from meshwork.llm import decontamination, mixing, quality, simhash
+from meshwork.llm import decontamination, mixing, quality
 from meshwork.llm.queries import table, tokenizer_file
+from test_near_copies import brute_groups
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
@@ -30,8 +31,8 @@ def test_every_stage_on_its_own_input(spark, tmp_path):
         assert k.columns == columns
     good = quality.score_quality(docs, table(spark, str(DATA), "labels")).where("predicted = 1")
     assert ids(kept[1]) == ids(good)
-    groups = simhash.near_groups(kept[1]).collect()
-    assert ids(kept[2]) == Counter({r.component_id for r in groups})
+    groups = brute_groups([(r.doc_id, r.text) for r in kept[1].select("doc_id", "text").collect()])
+    assert ids(kept[2]) == Counter({least for _, least in groups})
     leaked = {r.doc_id for r in decontamination.find_leaks(kept[2], table(spark, str(DATA), "benchmark")).collect()}
     assert leaked and ids(kept[3]) == Counter({d: 1 for d in ids(kept[2]) if d not in leaked})
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(kept[3]).collect()}
