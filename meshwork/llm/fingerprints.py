@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .ranges import range_cuts, run_of
+from .ranges import TOGETHER, range_cuts, run_of
 from .text import ROWS, words
 
 SHINGLE, BITS = 5, 4
@@ -29,8 +29,8 @@ BINS = 1 << BIN_BITS
 #: Words whose hashes a worker remembers before it starts anew.
 MEMORY = 400_000
 
-#: Characters of text in a run of ids, that is, of a task.
-RUN_CHARS = 16 << 20
+#: Characters of text in a run of ids.
+RUN_CHARS = 4 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -163,5 +163,5 @@ def fingerprint_neighbours(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 7, arrow, strict=True)], schema=arrow)
 
     key = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    ordered = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "extra", key.desc(), F.col("text").desc())
+    ordered = rows.repartition(-(-buckets // TOGETHER), "bucket").sortWithinPartitions("bucket", "extra", key.desc(), F.col("text").desc())
     return ordered.mapInArrow(run, schema)

@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, shared_dir
-from .ranges import range_cuts
+from .ranges import TOGETHER, range_cuts
 from .text import ROWS, map_texts
 
 #: Documents that the dictionary is trained on, ids of a piece of them, and its size.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2_000, 4_096, 64 << 10
 
 #: Characters of a bucket, payload after which a shard row is closed, bytes of a Parquet row group of shards.
-BUCKET_CHARS, SHARD_BYTES, GROUP_BYTES = 16 << 20, 1 << 20, 8 << 20
+BUCKET_CHARS, SHARD_BYTES, GROUP_BYTES = 4 << 20, 1 << 20, 8 << 20
 
 #: Bytes of remembered segments after which a worker starts anew, besides OWN of each, and segments that go to the library as one text.
 MEMORY, OWN, JOINT = 96 << 20, 220, 200
@@ -209,7 +209,7 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, bucket_
         if index:
             yield row()[1]
 
-    ordered = coded.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "frame").select("bucket", "doc_id", "n_tokens", "frame")
+    ordered = coded.repartition(-(-(len(cuts) + 1) // TOGETHER), "bucket").sortWithinPartitions("bucket", "doc_id", "frame").select("bucket", "doc_id", "n_tokens", "frame")
     packed = ordered.mapInArrow(pack, "bucket long, chunk long, ahead long, n_docs long, n_tokens long, first_doc long, last_doc long, dict_hash string, index binary, payload binary")
     packed.write.option("compression", "none").option("parquet.block.size", GROUP_BYTES).parquet(f"{store}/shards")
     return store
