@@ -54,6 +54,11 @@ def vector_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
+def mean_similarity(v: Column) -> Column:
+    """Mean of a pair's similarities over the compared types: its average structural similarity."""
+    return vector_sum(v) / F.size(v)
+
+
 def vector_text(v: Column) -> Column:
     """Components joined by blanks."""
     return F.concat_ws(" ", F.transform(v, lambda x: x.cast("string")))

@@ -7,6 +7,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from ..sources.hin import dense_index
+
 
 def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
     """(a, c): all pairs over (a, b) and (b, c), repeats kept."""
@@ -28,6 +31,11 @@ def mode_share(pairs: DataFrame, key: str, label: str) -> DataFrame:
     return first.select(key, F.col("x.label").alias(label), F.col("x.share").alias("share"))
 
 
+def author_table(modes: DataFrame, attributes: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Attributes of each author (id, ...) that has a modal label (id, label, share), and its degree (id, degree), 0 without one."""
+    return attributes.join(modes, "id").join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
 def outlier_labels(authors: DataFrame, share: float = 0.2, seed: int = 1) -> DataFrame:
     """``authors`` (id, degree, hindex) with outlier: degree at most 2, or in the sampled share of hindex at most 2 above that."""
     low, weak = F.col("degree") <= 2, (F.col("hindex") <= 2) & ~(F.col("degree") <= 2)
@@ -49,7 +57,8 @@ def merge_topics(rows: DataFrame, key: str, topics: str) -> DataFrame:
 
 def topic_clusters(embeddings: DataFrame, label: str | None = None, k: int = 10, seed: int = 1) -> DataFrame:
     """(id, cluster): k-means of embeddings (id, vec), within each ``label`` where given, numbered on over labels."""
-    vec = embeddings.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
+    vec = materialize(embeddings.select("id", F.col("vec").cast("array<double>").alias("vec"), *([label] if label else [])), "embeddings")
+    vec = vec.withColumn("features", array_to_vector("vec"))
     parts = [None] if label is None else sorted(r[0] for r in vec.select(label).distinct().collect())
     out, base = None, 0
     for p in parts:
@@ -64,8 +73,7 @@ def topic_clusters(embeddings: DataFrame, label: str | None = None, k: int = 10,
 
 def renumber(clusters: DataFrame, *keys: str) -> DataFrame:
     """``clusters`` with global_id: 0, 1, 2 ... over the distinct keys in order."""
-    ids = clusters.select(*keys).distinct()
-    numbered = ids.withColumn("global_id", F.dense_rank().over(Window.orderBy(*keys)) - 1)
+    numbered = dense_index(clusters.select(*keys).distinct(), list(keys), "global_id")
     return clusters.join(numbered, list(keys))
 
 

@@ -117,6 +117,23 @@ def projected_degrees(hin: Hin, path: MetaPath) -> DataFrame:
     return hin.of_type(path.vertices[0]).select(F.col("id").alias("u")).join(d, "u", "left").select("u", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def degree_distribution(degrees: DataFrame) -> DataFrame:
+    """(degree, n): how many vertices have each degree, of :func:`projected_degrees`."""
+    return degrees.groupBy("degree").agg(F.count("*").alias("n"))
+
+
+def mean_pathsim(hin: Hin, paths: list[MetaPath], members: DataFrame) -> DataFrame:
+    """(cid, avg_pathsim): mean PathSim over all pairs of members (v) of a community (cid), themselves included.
+
+    A pair without an instance on any path adds 0.
+    """
+    m = members.select("cid", "v").distinct()
+    s = pathsim_pairs(hin, paths).where("u <> w")
+    inside = s.join(m.withColumnRenamed("v", "u"), "u").join(m.withColumnRenamed("v", "w"), ["w", "cid"]).groupBy("cid").agg(F.sum("s").alias("s"))
+    size = m.groupBy("cid").agg(F.count("*").alias("n"))
+    return size.join(inside, "cid", "left").select("cid", ((F.coalesce("s", F.lit(0.0)) + F.col("n")) / (F.col("n") * F.col("n"))).alias("avg_pathsim"))
+
+
 def discover(hin: Hin, kind: int, top: int = 1001, sample: int | None = None, seed: int = 1) -> DataFrame:
     """(e1, t1, e2, t2, e3, t3, e4, cnt): the ``top`` most frequent paths kind - t1 - t2 - t1 - kind, t2 neither t1 nor kind.
 

@@ -1,7 +1,11 @@
 """Structural similarity over typed neighbourhoods nbr (u, type, v).
 
 Pairs come from self-joins on shared neighbours, most selective type first; other
-types are verified on the survivors. A type in which every vertex has one
+types are verified on the survivors. A threshold reaches into the join: a set is
+entered under its rarest neighbours only, as many as it must have one of in common
+with any set alike enough (prefix filter), sets whose sizes exclude the threshold
+don't meet, and a pair is counted where it meets first, so nothing is deduplicated.
+Vertices with more than LISTED neighbours of the type are joined row by row instead. A type in which every vertex has one
 neighbour at most is no join of its own: similarity there is 0 or 1, so its
 neighbour becomes a further equality key of the candidate join. Pairs of two empty
 sets are never listed on their own: they are alike in that type, but a vertex
@@ -18,9 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import MEASURES
+from ..session import materialize
+from ..sources.hin import dense_index
 
 Test = Callable[[int, Column, Column, Column], Column]
 
+#: Neighbours of a vertex that travel with it as an array.
+LISTED = 1_000
+
+#: Least common members over own size, and least smaller over larger size, of sets whose similarity is t.
+BOUNDS: dict[str, Callable[[float], tuple[float, float]]] = {"jaccard": lambda t: (t, t), "cosine": lambda t: (t * t, t * t), "overlap": lambda t: (0.0, 0.0)}
+
 
 def type_costs(nbr: DataFrame) -> dict[int, tuple[int, int]]:
     """type: (most neighbours of a vertex, rows of its candidate join); a row per type comes to the driver."""
@@ -33,10 +45,21 @@ def _sizes(nbr: DataFrame, kind: int, name: str) -> DataFrame:
     return nbr.where(F.col("type") == kind).groupBy("u").agg(F.count("*").alias(name))
 
 
-def conjunctive_pairs(left: DataFrame, right: DataFrame, types: list[int], test: Test, symmetric: bool) -> DataFrame:
+def _listed(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """u, keys, n, vs (ranks of the neighbours, rarest first) and v, one of the ranks a set is entered under, of rows (u, v, keys)."""
+    ranks = dense_index(rows.groupBy("v").agg(F.count("*").alias("_c")), ["_c", "v"], "rank").select("v", "rank")
+    sets = rows.join(ranks, "v").groupBy("u", *keys).agg(F.array_sort(F.collect_list("rank")).alias("vs")).withColumn("n", F.size("vs"))
+    sets = materialize(sets, "sets")
+    need = F.greatest(F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)), F.lit(1)).cast("int")
+    return sets.withColumn("v", F.explode(F.slice("vs", 1, F.col("n") - need + 1)))
+
+
+def conjunctive_pairs(left: DataFrame, right: DataFrame, types: list[int], test: Test, symmetric: bool, bounds: Callable[[int], tuple[float, float]] = lambda t: (0.0, 0.0)) -> DataFrame:
     """(u, w), u from left and w from right, that pass ``test(type, common, size_u, size_w)`` in every type.
 
     ``symmetric``: left and right are the same and each pair comes once, u < w.
+    ``bounds`` gives for a type what share of its own members a set at least has in
+    common with one that passes, and the least ratio of their sizes.
     """
     left, right = (x.where(F.col("type").isin(*types)) for x in (left, right))
     costs = type_costs(left if symmetric else left.unionByName(right))
@@ -65,9 +88,21 @@ def conjunctive_pairs(left: DataFrame, right: DataFrame, types: list[int], test:
             return near(a, b, []).select("u", F.col("r_u").alias("w")) if keys else None
         kind, *more = todo
         ka, kb = (x.where(F.col("type") == kind).select("u", "v") for x in (left, right))
+        if symmetric and costs.get(kind, (0, 0))[0] <= LISTED:
+            share, ratio = bounds(kind)
+            entries = _listed(a.join(ka, "u"), keys, share)
+            x, y = entries, entries.select(*[F.col(c).alias(f"r_{c}") for c in entries.columns])
+            same = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
+            on = reduce(lambda p, q: p & q, [F.col("v") == F.col("r_v"), *same, F.col("u") < F.col("r_u"), F.least("n", "r_n") >= F.greatest("n", "r_n") * F.lit(ratio - 1e-9)])
+            common = x.join(y, on).select("u", F.col("r_u").alias("w"), "v", "n", "r_n", F.array_intersect("vs", "r_vs").alias("common"))
+            pairs = common.where((F.get("common", 0) == F.col("v")) & test(kind, F.size("common"), F.col("n"), F.col("r_n"))).select("u", "w")
+            return finished(pairs, a, b, ka, kb, more)
         met = near(a.join(ka, "u"), b.join(kb, "u"), ["v"]).groupBy("u", F.col("r_u").alias("w")).agg(F.count("*").alias("c"))
         sized = met.join(_sizes(left, kind, "na"), "u").join(_sizes(right, kind, "nb").withColumnRenamed("u", "w"), "w")
         pairs = sized.where(test(kind, F.col("c"), F.col("na"), F.col("nb"))).select("u", "w")
+        return finished(pairs, a, b, ka, kb, more)
+
+    def finished(pairs: DataFrame, a: DataFrame, b: DataFrame, ka: DataFrame, kb: DataFrame, more: list[int]) -> DataFrame:
         for t in more:
             pairs = verified(pairs, t)
         empty = found(a.join(ka, "u", "left_anti"), b.join(kb, "u", "left_anti"), more)
@@ -96,7 +131,8 @@ def similar_edges(nbr: DataFrame, eps: dict[int, float], measure: str = "jaccard
     if measure not in MEASURES:
         raise ValueError(f"no measure {measure}")
     own = nbr.where(F.col("type").isin(*eps))
-    return both_ways(conjunctive_pairs(own, own, list(eps), _threshold(eps, measure), True), own.select("u").distinct())
+    pairs = conjunctive_pairs(own, own, list(eps), _threshold(eps, measure), True, lambda t: BOUNDS[measure](float(eps[t])))
+    return both_ways(pairs, own.select("u").distinct())
 
 
 def positive_pairs(left: DataFrame, right: DataFrame, types: list[int]) -> DataFrame:

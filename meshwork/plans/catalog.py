@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import MEASURES
+from .. import api
+from ..functions.similarity import MEASURES, mean_similarity
 from ..operators import community, index, labels, metapath, metrics, neighborhood, similarity
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ..sources.hin import as_evaluation
-from ..sources.spec import MetaPath
+from ..sources.spec import MetaPath, parse_spec
 from . import networks as N
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 EPS, MU = {1: 0.3, 2: 0.3}, 5
 S_N_S, S_O_S = MetaPath((N.SUPPLIER, N.NATION, N.SUPPLIER), (-1, -1)), MetaPath((N.SUPPLIER, N.ORDER, N.SUPPLIER), (-1, -1))
-S_N_R_N_S = MetaPath((N.SUPPLIER, N.NATION, N.REGION, N.NATION, N.SUPPLIER), (-1, -1, -1, -1))
+S_O_C_O_S = MetaPath((N.SUPPLIER, N.ORDER, N.CUSTOMER, N.ORDER, N.SUPPLIER), (-1, -1, -1, -1))
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -248,10 +250,10 @@ def scan_search_batch(spark, d):
     return community.search(_h1_members(spark, d), q)
 
 
-@query(f"{_H1_SCAN} SELECT q.v AS q, m.v, m.role FROM members q JOIN members m ON q.cid = m.cid WHERE q.role = 'c' AND q.v % 100 = 0")
+@query(f"{_H1_SCAN} SELECT q.v AS q, m.v, m.role FROM members q JOIN members m ON q.cid = m.cid WHERE q.role = 'c' AND q.v % 20 = 0")
 def scan_search_expand(spark, d):
-    """Communities of every hundredth part, from these outwards."""
-    q = N.vertices_of(spark, d, "part", "p_partkey").where("u % 100 = 0").withColumnRenamed("u", "id")
+    """Communities of every twentieth part, from these outwards."""
+    q = N.vertices_of(spark, d, "part", "p_partkey").where("u % 20 = 0").withColumnRenamed("u", "id")
     return community.expand_search(_h1_edges(spark, d), MU, q)
 
 
@@ -327,10 +329,41 @@ def hetesim_pairs(spark, d):
     return metapath.hetesim(N.network(spark, d), S_O_S).select("a", "b", F.round("s", 9).alias("s"))
 
 
-@query(f"WITH {_HIN}, sn AS (SELECT src, dst FROM edges6 WHERE src_type = 3 AND dst_type = 4), nr AS (SELECT src, dst FROM edges6 WHERE src_type = 4 AND dst_type = 5), mid AS (SELECT a.src AS x, b.src AS y FROM nr a JOIN nr b ON a.dst = b.dst) SELECT a.src AS a, b.src AS b, 1.0::DOUBLE AS s FROM sn a JOIN mid ON a.dst = x JOIN sn b ON b.dst = y")
+# s(order, order) is 1 where both are the same customer's, so pairs of orders add up by customer
+_HETESIM_5 = f"""WITH {_HIN},
+so AS (SELECT src AS s, dst AS o, count(*) AS k FROM edges6 WHERE src_type = 3 AND dst_type = 1 GROUP BY src, dst),
+oc AS (SELECT src AS o, dst AS c FROM edges6 WHERE src_type = 1 AND dst_type = 0),
+sc AS (SELECT s, c, sum(k) AS k FROM so JOIN oc ON so.o = oc.o GROUP BY s, c),
+n AS (SELECT s, sum(k) AS n FROM so GROUP BY s)
+SELECT a.s AS a, b.s AS b, round(CASE WHEN a.s = b.s THEN 1.0 ELSE sum(a.k * b.k) / sqrt(x.n::DOUBLE * y.n) END, 9) AS s
+FROM sc a JOIN sc b ON a.c = b.c JOIN n x ON a.s = x.s JOIN n y ON b.s = y.s GROUP BY a.s, b.s, x.n, y.n"""
+
+
+@query(_HETESIM_5)
 def hetesim_long(spark, d):
-    """HeteSim of suppliers by nation and region."""
-    return metapath.hetesim(N.network(spark, d), S_N_R_N_S).select("a", "b", F.round("s", 9).alias("s"))
+    """HeteSim of suppliers by order and customer."""
+    return metapath.hetesim(N.network(spark, d), S_O_C_O_S).select("a", "b", F.round("s", 9).alias("s"))
+
+
+_HETESIM_EDGES = """half AS (SELECT src, dst, count(*) AS k FROM edges6 WHERE src_type = 3 AND dst_type = 1 GROUP BY src, dst),
+hn AS (SELECT src, sum(k) AS n FROM half GROUP BY src),
+nation AS (SELECT src AS u, any_value(dst) AS nat FROM edges6 WHERE src_type = 3 AND dst_type = 4 GROUP BY src),
+hs AS (SELECT a.src AS u, b.src AS w, CASE WHEN a.src = b.src THEN 1.0 ELSE sum(a.k * b.k) / sqrt(x.n::DOUBLE * y.n) END AS s
+  FROM half a JOIN half b ON a.dst = b.dst JOIN hn x ON a.src = x.src JOIN hn y ON b.src = y.src GROUP BY a.src, b.src, x.n, y.n),
+edges AS (SELECT hs.u, hs.w FROM hs JOIN nation p ON p.u = hs.u JOIN nation q ON q.u = hs.w WHERE p.nat = q.nat AND hs.s >= 0.0301)"""
+
+
+@query(f"WITH RECURSIVE {_HIN}, {_HETESIM_EDGES}, {_scan(3)} SELECT v, cid, role FROM members")
+def hetesim_members(spark, d):
+    """Communities of suppliers by HeteSim over nation and order."""
+    edges = metapath.hetesim_edges(N.network(spark, d), [(S_N_S, 0.3), (S_O_S, 0.0301)])
+    return community.membership(materialize(edges, "similar"), 3)
+
+
+@query(f"WITH {_SOS}, deg AS (SELECT id, count(sos.w) AS degree FROM vertices LEFT JOIN sos ON sos.u = id AND sos.w <> id WHERE type = 3 GROUP BY id) SELECT degree, count(*) AS n FROM deg GROUP BY degree")
+def homo_degree_distribution(spark, d):
+    """How many suppliers have each degree in the projection."""
+    return metapath.degree_distribution(metapath.projected_degrees(N.network(spark, d), S_O_S))
 
 
 # -- index -----------------------------------------------------------------------------
@@ -340,7 +373,17 @@ def _h2_vectors(spark, d) -> DataFrame:
     return materialize(similarity.common_vectors(N.customer_supply(spark, d), [1, 2]), "vectors")
 
 
-@query(f"WITH {_H2}, {_SIM} SELECT a.u, a.w, round(a.s, 9) AS s1, round(b.s, 9) AS s2 FROM sim a JOIN sim b ON a.u = b.u AND a.w = b.w WHERE a.type = 1 AND b.type = 2")
+# pairs of one nation are joined, not all that share a supplier
+_H2_PAIRS = """x2 AS (SELECT s.u, s.v, k.v AS nat FROM nbr s JOIN nbr k ON s.u = k.u AND k.type = 1 WHERE s.type = 2),
+n2 AS (SELECT u, count(*) AS n FROM x2 GROUP BY u),
+c2 AS (SELECT a.u, b.u AS w, count(*) AS c FROM x2 a JOIN x2 b ON a.nat = b.nat AND a.v = b.v GROUP BY a.u, b.u),
+x AS (SELECT c2.u, c2.w, c::DOUBLE / (p.n + q.n - c) AS s FROM c2 JOIN n2 p ON c2.u = p.u JOIN n2 q ON c2.w = q.u)"""
+_LEVEL = "CASE WHEN s >= (floor(s * 100) + 1) / 100.0::DOUBLE THEN floor(s * 100) + 1 WHEN s < floor(s * 100) / 100.0::DOUBLE THEN floor(s * 100) - 1 ELSE floor(s * 100) END::INTEGER"
+
+
+@query(f"""WITH {_H2}, {_H2_PAIRS} SELECT u, w, 1.0::DOUBLE AS s1, round(s, 9) AS s2 FROM x
+UNION ALL SELECT a.u, b.u, 1.0::DOUBLE, 1.0::DOUBLE FROM nbr a JOIN nbr b ON a.v = b.v WHERE a.type = 1 AND b.type = 1
+  AND a.u NOT IN (SELECT u FROM n2) AND b.u NOT IN (SELECT u FROM n2)""")
 def similarity_index(spark, d):
     """Similarity vectors of customers."""
     return _h2_vectors(spark, d).select("u", "w", F.round(F.col("vec")[0], 9).alias("s1"), F.round(F.col("vec")[1], 9).alias("s2"))
@@ -358,18 +401,34 @@ def domin_rank(spark, d):
     return index.dominance_rank(_h2_vectors(spark, d)).select("u", "w", "domin_rank")
 
 
-@query(f"WITH RECURSIVE {_H2}, {_SIM}, x AS (SELECT b.u, b.w, b.s FROM sim a JOIN sim b ON a.u = b.u AND a.w = b.w WHERE a.type = 1 AND b.type = 2), lv AS (SELECT unnest(range(0, 101)) AS lv), alive(it, lv, u) AS (SELECT DISTINCT 0, lv, u FROM x, lv UNION ALL SELECT a.it + 1, a.lv, x.u FROM x JOIN alive a ON x.u = a.u JOIN alive b ON x.w = b.u AND b.it = a.it AND b.lv = a.lv WHERE a.it < 16 AND x.s >= a.lv / 100.0::DOUBLE GROUP BY a.it, a.lv, x.u HAVING count(*) >= 5) SELECT u AS v, max(lv)::INTEGER AS lv FROM alive WHERE it = 16 GROUP BY u")
+_H2_LEVELS = f"""WITH RECURSIVE {_H2}, {_H2_PAIRS}, lv AS (SELECT unnest(range(0, 101)) AS lv),
+alive(it, lv, u) AS (SELECT DISTINCT 0, lv, u FROM x, lv UNION ALL
+  SELECT a.it + 1, a.lv, x.u FROM x JOIN alive a ON x.u = a.u JOIN alive b ON x.w = b.u AND b.it = a.it AND b.lv = a.lv
+  WHERE a.it < 16 AND x.s >= a.lv / 100.0::DOUBLE GROUP BY a.it, a.lv, x.u HAVING count(*) >= 5),
+tau AS (SELECT u AS v, max(lv)::INTEGER AS lv FROM alive WHERE it = 16 GROUP BY u)"""
+
+
+@query(f"{_H2_LEVELS} SELECT v, lv FROM tau")
 def kthres_1d(spark, d):
     """Greatest level of supplier similarity at which a customer is in the 5-core of its nation."""
     return index.k_thresholds_1d(_h2_vectors(spark, d).select("u", "w", F.col("vec")[1].alias("s")), MU)
 
 
-@query()
+@query(f"{_H2_LEVELS} SELECT v, '100 ' || lv AS thres FROM tau")
 def kthres_2d(spark, d):
-    """Skyline of levels at which a customer is in the 5-core."""
+    """Skyline of levels at which a customer is in the 5-core; a pair's nations are the same or it is none."""
     return index.k_thresholds(_h2_vectors(spark, d), MU, 2).select("v", F.concat_ws(" ", F.col("thres").cast("array<string>")).alias("thres"))
 
 
+@query(f"WITH {_H2}, {_H2_PAIRS}, l AS (SELECT u, w, {_LEVEL} AS l FROM x WHERE u <> w) SELECT 1 AS k, u AS v, '100 100' AS thres FROM nbr WHERE type = 1 UNION ALL SELECT 2, u, '100 ' || max(l) FROM l GROUP BY u")
+def kthres_small(spark, d):
+    """The same for the 1-core and the 2-core."""
+    vectors = _h2_vectors(spark, d)
+    text = F.concat_ws(" ", F.col("thres").cast("array<string>")).alias("thres")
+    one, two = (index.k_thresholds(vectors, k, 2).select(F.lit(k).alias("k"), "v", text) for k in (1, 2))
+    return one.unionByName(two)
+
+
 @query(f"WITH RECURSIVE {_H2}, {_SIM}, {_EDGES}, alive(it, u) AS (SELECT DISTINCT 0, u FROM edges UNION ALL SELECT a.it + 1, e.u FROM edges e JOIN alive a ON e.u = a.u JOIN alive b ON e.w = b.u AND b.it = a.it WHERE a.it < 20 GROUP BY a.it, e.u HAVING count(*) >= 5) SELECT u AS v FROM alive WHERE it = 20")
 def index_core_test(spark, d):
     """Customers whose thresholds reach the query's: those in its 5-core."""
@@ -382,17 +441,139 @@ def _h2_level(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, tau, materialize(index.level_clusters(edges, tau), "levels")
 
 
-@query()
+# clusters at each level by spreading the least vertex; a nation's customers are few steps apart
+_H2_TREE = f"""{_H2_LEVELS}, kept AS (SELECT DISTINCT lv FROM tau),
+pairs AS (SELECT k.lv, x.u, x.w FROM x JOIN tau a ON a.v = x.u JOIN tau b ON b.v = x.w JOIN kept k ON k.lv <= a.lv AND k.lv <= b.lv AND x.s >= k.lv / 100.0::DOUBLE),
+spread(it, lv, u, c) AS (SELECT DISTINCT 0, lv, u, u FROM pairs UNION ALL
+  SELECT s.it + 1, p.lv, p.u, min(s.c) FROM pairs p JOIN spread s ON s.lv = p.lv AND s.u = p.w WHERE s.it < 16 GROUP BY s.it, p.lv, p.u),
+levels AS (SELECT lv, u AS v, c AS cid FROM spread WHERE it = 16)"""
+
+
+@query(f"""{_H2_TREE}, sets AS (SELECT lv, cid, count(*) AS size, list(v ORDER BY v) AS vs FROM levels GROUP BY lv, cid),
+nodes AS (SELECT max(lv) AS lv, cid, size, vs FROM sets GROUP BY cid, size, vs),
+up AS (SELECT n.lv, n.cid, max(p.lv) AS plv, arg_max(p.cid, p.lv) AS pcid FROM nodes n JOIN nodes p ON p.lv < n.lv AND list_contains(p.vs, n.cid) GROUP BY n.lv, n.cid)
+SELECT nodes.lv, nodes.cid, size, plv AS parent_lv, pcid AS parent_cid FROM nodes LEFT JOIN up ON up.lv = nodes.lv AND up.cid = nodes.cid""")
 def mutree_levels(spark, d):
     """Clusters of customers at every level, as a tree."""
     return index.level_tree(_h2_level(spark, d)[2])
 
 
-@query()
+@query(f"""{_H2_TREE}, base AS (SELECT min(lv) AS lv FROM kept WHERE lv >= 25), core AS (SELECT v, cid FROM levels WHERE lv = (SELECT lv FROM base))
+SELECT v, cid, true AS core FROM core UNION ALL
+SELECT DISTINCT x.w, core.cid, false FROM core JOIN x ON x.u = core.v WHERE x.s >= 0.25::DOUBLE AND x.w NOT IN (SELECT v FROM core)""")
 def mutree_query(spark, d):
-    """Clusters of customers at similarity 0.35."""
+    """Clusters of customers at similarity 0.25."""
     edges, tau, levels = _h2_level(spark, d)
-    return index.tree_query(levels, edges, tau, 0.35)
+    return index.tree_query(levels, edges, tau, 0.25)
+
+
+# -- from a specification --------------------------------------------------------------------
+
+
+_SPEC = "3\n2\n0 20\n-1\n3 0.3\n4 0.3\n"
+_SPEC_NBR = f"{_D2}, nbr AS (SELECT u, x.type, v FROM two JOIN vertices x ON v = x.id WHERE x.type IN (3, 4))"
+_SPEC_SCAN = f"WITH RECURSIVE {_SPEC_NBR}, {_SIM}, {_EDGES}, {_scan(3)}"
+_SPEC_QUERIES = "ql AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l, count(*) OVER () AS n FROM vertices WHERE type = 0), q AS (SELECT id FROM ql WHERE l >= 1 AND (l - 1) % (n // 20) = 0 AND l < 1 + 20 * (n // 20))"
+_SPEC_SEARCH = f"{_SPEC_SCAN}, {_SPEC_QUERIES} SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)"
+_SPEC_DETECT = f"""{_SPEC_SCAN}, others AS (SELECT id AS v FROM vertices WHERE type = 0 AND id NOT IN (SELECT v FROM members)),
+near AS (SELECT a.u, a.w FROM sim a JOIN sim b ON a.u = b.u AND a.w = b.w WHERE a.type = 3 AND b.type = 4),
+hubs AS (SELECT o.v FROM others o JOIN near x ON x.u = o.v JOIN members m ON m.v = x.w GROUP BY o.v HAVING count(DISTINCT m.cid) > 1)
+SELECT v, role, cid FROM members UNION ALL SELECT v, CASE WHEN v IN (SELECT v FROM hubs) THEN 'h' ELSE 'o' END, -1 FROM others"""
+
+
+def _spec(hin, text: str = _SPEC):
+    return parse_spec(text, hin.vertices.select("type").distinct().count())
+
+
+def _stored(spark, hin, spec, **kwargs) -> api.Index:
+    return api.build_index(hin, spec, f"{shared_dir(spark)}/meshwork/index-{uuid.uuid4().hex}", spec.mu, **kwargs)
+
+
+@query(_SPEC_SEARCH)
+def search_from_spec(spark, d):
+    """Communities of twenty customers, by nations and suppliers within two hops, from a query specification."""
+    hin = N.network(spark, d)
+    return api.community_search(hin, _spec(hin))
+
+
+@query(_SPEC_SEARCH)
+def search_by_index(spark, d):
+    """The same answers from a stored index."""
+    hin = N.network(spark, d)
+    return api.community_search(hin, _spec(hin), stored=_stored(spark, hin, _spec(hin)))
+
+
+@query(_SPEC_DETECT)
+def detect_from_spec(spark, d):
+    """All communities, hubs and outliers of customers, from a query specification."""
+    hin = N.network(spark, d)
+    return api.community_detect(hin, _spec(hin))
+
+
+@query(_SPEC_DETECT)
+def detect_by_index(spark, d):
+    """The same from a stored index that also answers subsets of its types."""
+    hin = N.network(spark, d)
+    return api.community_detect(hin, _spec(hin), _stored(spark, hin, _spec(hin), subsets=True))
+
+
+_HALF = "first_half AS (SELECT id AS u FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l, count(*) OVER () AS n FROM vertices WHERE type = 0) WHERE l < n * 50 // 100)"
+
+
+@query(
+    f"WITH RECURSIVE {_SPEC_NBR.replace('nbr AS', 'nbr0 AS')}, {_HALF}, nbr AS (SELECT nbr0.* FROM nbr0 SEMI JOIN first_half USING (u)), {_SIM}, {_EDGES}, "
+    "alive(it, u) AS (SELECT DISTINCT 0, u FROM edges UNION ALL SELECT a.it + 1, e.u FROM edges e JOIN alive a ON e.u = a.u JOIN alive b ON e.w = b.u AND b.it = a.it WHERE a.it < 20 GROUP BY a.it, e.u HAVING count(*) >= 3), "
+    f"kcore AS (SELECT u FROM alive WHERE it = 20), kk AS (SELECT e.u, e.w FROM edges e JOIN kcore a ON e.u = a.u JOIN kcore b ON e.w = b.u), {_SPEC_QUERIES}, "
+    "hit AS (SELECT u AS q, u AS v FROM kcore WHERE u IN (SELECT id FROM q) UNION SELECT h.q, k.w FROM hit h JOIN kk k ON h.v = k.u) SELECT q, v FROM hit"
+)
+def kcore_search_scaled(spark, d):
+    """Connected 3-cores of twenty customers, among the first half of all customers."""
+    hin = N.network(spark, d)
+    return api.kcore_search(hin, _spec(hin), scale=50)
+
+
+@query(f"{_SPEC_SCAN}, {_SPEC_QUERIES}, f AS (SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)), r AS (SELECT q, count(*) AS size, count_if(role = 'c') AS cores FROM f GROUP BY q) SELECT (SELECT count(*) FROM q) AS queries, count(*) AS answered, round(avg(size), 9) AS mean_size, round(avg(cores), 9) AS mean_cores FROM r")
+def batch_report(spark, d):
+    """Averages over the answers of twenty customers."""
+    hin = N.network(spark, d)
+    spec = _spec(hin)
+    got = api.batch_report(materialize(api.community_search(hin, spec), "found"), neighborhood.query_vertices(hin, spec))
+    return got.select("queries", "answered", F.round("mean_size", 9).alias("mean_size"), F.round("mean_cores", 9).alias("mean_cores"))
+
+
+@query(f"{_SPEC_SCAN}, {_SPEC_QUERIES} SELECT c.v AS q, count(*) AS size, count_if(m.role = 'c') AS cores, count_if(m.role = 'n') AS noncores FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q) GROUP BY c.v")
+def search_report(spark, d):
+    """Sizes of those answers."""
+    hin = N.network(spark, d)
+    return api.search_report(api.community_search(hin, _spec(hin)))
+
+
+@query(f"WITH {_H3}, {_SIM}, p AS (SELECT u, w, s, c / sqrt(na::DOUBLE * nb) AS k, type FROM sim WHERE u < w) SELECT u, w, round(sum(s) / 2, 9) AS avg_jaccard, round(sum(k) / 2, 9) AS avg_cosine FROM p GROUP BY u, w")
+def avg_jac_cos(spark, d):
+    """Mean similarities of parts over brand and words, of pairs that share any."""
+    nbr = N.part_words(spark, d)
+    parts = []
+    for measure, name in (("jaccard", "avg_jaccard"), ("cosine", "avg_cosine")):
+        v = similarity.similarity_vectors(nbr, similarity.typed_similarity(nbr, measure).where("u < w"), [1, 2])
+        parts.append(v.select("u", "w", F.round(mean_similarity(F.col("vec")), 9).alias(name)))
+    return parts[0].join(parts[1], ["u", "w"])
+
+
+@query(f"WITH RECURSIVE {_H2}, {_SIM}, {_EDGES}, {_scan(3)}, m AS (SELECT u, w, sum(s) / 2 AS s FROM sim GROUP BY u, w) SELECT a.cid, count(*) AS core_edges, round(avg(m.s), 9) AS mean_similarity FROM edges e JOIN clusters a ON a.u = e.u JOIN clusters b ON b.u = e.w AND b.cid = a.cid JOIN m ON m.u = e.u AND m.w = e.w WHERE e.u <> e.w GROUP BY a.cid")
+def core_similarity(spark, d):
+    """Similar pairs among the cores of each community of customers, and their mean similarity."""
+    vectors = _h2_vectors(spark, d)
+    edges = materialize(similarity.index_edges(vectors, [1, 2], EPS), "similar")
+    got = metrics.core_similarity(vectors, edges, community.membership(edges, 3))
+    return got.select("cid", "core_edges", F.round("mean_similarity", 9).alias("mean_similarity"))
+
+
+@query(f"WITH RECURSIVE {_SOS}, {_PS}, edges AS (SELECT u, w FROM ps WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND s1 >= 0.3 AND s2 >= 0.005), {_scan(3)}, mm AS (SELECT DISTINCT v, cid FROM members) SELECT a.cid, round(sum(CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(ps.s, 0) END) / count(*), 9) AS avg_pathsim FROM mm a JOIN mm b ON a.cid = b.cid LEFT JOIN ps ON ps.u = a.v AND ps.w = b.v GROUP BY a.cid")
+def community_pathsim(spark, d):
+    """Mean PathSim inside communities of suppliers."""
+    hin = N.network(spark, d)
+    members = community.membership(materialize(metapath.pathsim_edges(hin, [(S_N_S, 0.3), (S_O_S, 0.005)]), "similar"), 3)
+    return metapath.mean_pathsim(hin, [S_N_S, S_O_S], materialize(members, "members")).select("cid", F.round("avg_pathsim", 9).alias("avg_pathsim"))
 
 
 # -- metrics ------------------------------------------------------------------------------
@@ -466,6 +647,15 @@ def _authors(spark, d) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("hindex")).agg(F.count("o_orderkey").alias("degree")).select("id", "degree", "hindex")
 
 
+@query("WITH m AS (SELECT o_custkey AS id, o_orderpriority AS label, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY o_custkey), 2) AS share, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey, o_orderpriority), g AS (SELECT o_custkey AS id, count(*) AS degree FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey) SELECT id, CAST(c_nationkey AS INTEGER) AS hindex, label, share, coalesce(degree, 0) AS degree FROM customer JOIN m ON m.id = c_custkey LEFT JOIN g USING (id) WHERE r = 1")
+def label_authors(spark, d):
+    """Modal priority of each customer beside its nation and its number of large orders."""
+    o = N.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("label"), "o_totalprice")
+    attributes = N.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("hindex"))
+    degrees = o.where("o_totalprice > 100000").groupBy("id").agg(F.count("*").alias("degree"))
+    return labels.author_table(labels.mode_share(o, "id", "label"), attributes, degrees).select("id", "hindex", "label", "share", "degree")
+
+
 @query(f"WITH {_AUTHORS} SELECT id, degree, hindex, degree <= 2 OR (hindex <= 2 AND degree > 2) AS outlier FROM a")
 def label_outlier_rule(spark, d):
     """Outliers by degree and rank, the whole of the second group."""
@@ -485,13 +675,15 @@ def topic_merge(spark, d):
     return labels.merge_topics(p, "p_brand", "topics").select("p_brand", F.concat_ws(" ", "topics").alias("topics"))
 
 
-@query("SELECT a, string_agg(v, ' ' ORDER BY v) AS venues FROM (SELECT o_custkey AS a, CAST(l_suppkey AS VARCHAR) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY a")
+@query("SELECT a, string_agg(v, ' ' ORDER BY v) AS venues, string_agg(DISTINCT t, ' ' ORDER BY t) AS topics FROM (SELECT o_custkey AS a, CAST(l_suppkey AS VARCHAR) AS v, p_brand AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey) GROUP BY a")
 def two_hop_bags(spark, d):
-    """Suppliers of each customer's orders, repeats kept."""
+    """Suppliers of each customer's orders, repeats kept, and the brands in them, each once."""
     first = N.table(spark, d, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
     second = N.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("b"), F.col("l_suppkey").cast("string").alias("c"))
-    pairs = labels.two_hop(first, second)
-    return labels.bags_and_sets(pairs, pairs).select("a", F.concat_ws(" ", "venues").alias("venues"))
+    p = N.table(spark, d, "part")
+    third = N.table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("b"), F.col("p_brand").alias("c"))
+    got = labels.bags_and_sets(labels.two_hop(first, second), labels.two_hop(first, third))
+    return got.select("a", F.concat_ws(" ", "venues").alias("venues"), F.concat_ws(" ", "topics").alias("topics"))
 
 
 @query()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_table, shared_dir
 from ..sources.hin import Hin
 
 CUSTOMER, ORDER, PART, SUPPLIER, NATION, REGION = range(6)
@@ -70,6 +72,17 @@ def raw_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return vertices, reduce(lambda a, b: a.unionByName(b), edges)
 
 
+#: Folder of each network that this session has stored, by application and tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def network(spark: SparkSession, sf_dir: str) -> Hin:
-    """The full network, renumbered."""
-    return Hin.from_tables(*raw_network(spark, sf_dir))
+    """The full network: renumbered and stored in the shared folder when first asked for, then loaded from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        folder = f"{shared_dir(spark)}/meshwork/network-{uuid.uuid4().hex}"
+        hin = Hin.from_tables(*raw_network(spark, sf_dir))
+        hin.save(folder)
+        drop_table(hin.edges)
+        _STORED[key] = folder
+    return Hin.load(spark, _STORED[key])

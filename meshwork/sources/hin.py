@@ -47,13 +47,12 @@ class Hin:
         v = dense_index(vertices.select("source_id", "type"), ["type", "source_id"], "id").join(F.broadcast(types), "type").select("id", "source_id", F.col("new_type").alias("type"))
         v = materialize(v, "vertices")
         e = edges.select("src", "dst", F.col("edge_type").cast("int").alias("edge_type"))
-        ends = e.select(F.explode(F.array("src", "dst")).alias("source_id")).distinct()
-        if not ends.join(v, "source_id", "left_anti").isEmpty():
-            raise ValueError("an edge ends at an unknown vertex")
         for side in ("src", "dst"):
             new = v.select(F.col("source_id").alias(side), F.col("id").alias(f"n_{side}"), F.col("type").alias(f"{side}_type"))
-            e = e.join(new, side)
+            e = e.join(new, side, "left")
         e = materialize(e.select(F.col("n_src").alias("src"), "src_type", F.col("n_dst").alias("dst"), "dst_type", "edge_type"), "edges")
+        if not e.where("src is null or dst is null").isEmpty():
+            raise ValueError("an edge ends at an unknown vertex")
         hin = cls(v, e)
         if symmetric and not hin.one_sided().isEmpty():
             raise ValueError("an edge is listed from one end only")
@@ -79,12 +78,13 @@ class Hin:
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Hin:
         """Read what :meth:`save` wrote."""
-        return cls(spark.read.parquet(f"{folder}/vertices"), spark.read.parquet(f"{folder}/edges"))
+        edges = spark.read.parquet(f"{folder}/edges")
+        return cls(spark.read.parquet(f"{folder}/vertices"), edges.select("src", "src_type", "dst", "dst_type", "edge_type"))
 
     def save(self, folder: str) -> None:
-        """Write both tables as Parquet, edges partitioned by the type of their source."""
+        """Write both tables as Parquet, edges partitioned by the types of both ends, so that a path reads its own types only."""
         self.vertices.write.mode("overwrite").parquet(f"{folder}/vertices")
-        self.edges.write.mode("overwrite").partitionBy("src_type").parquet(f"{folder}/edges")
+        self.edges.write.mode("overwrite").partitionBy("src_type", "dst_type").parquet(f"{folder}/edges")
 
     def export_text(self, folder: str) -> None:
         """Write vertex_map, graph_type, graph_offset and graph_info as text: adjacency in CSR order."""
@@ -104,9 +104,9 @@ class Hin:
         self.vertices.sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/graph_info")
 
     def one_sided(self) -> DataFrame:
-        """(src, dst) pairs without a pair from the other end."""
-        pairs = self.edges.select("src", "dst").distinct()
-        return pairs.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+        """(src, dst) pairs without a pair from the other end: one grouped pass, combined before the shuffle."""
+        ends = self.edges.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.max(F.col("src") <= F.col("dst")).alias("up"), F.max(F.col("src") >= F.col("dst")).alias("down"))
+        return ends.where(~(F.col("up") & F.col("down"))).select(F.when(F.col("up"), F.col("lo")).otherwise(F.col("hi")).alias("src"), F.when(F.col("up"), F.col("hi")).otherwise(F.col("lo")).alias("dst"))
 
     def schema(self) -> DataFrame:
         """src_type, dst_type, cnt: directed edges between types."""
