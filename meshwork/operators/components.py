@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_table, materialize
+from ..session import NUMBER_ROWS, drop_table, files_for, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialize(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "star")
+        after = materialize(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "star", files_for(digest[0], NUMBER_ROWS))
         drop_table(now)
         now = after
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

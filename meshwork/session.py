@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of a few fixed-width columns that may be broadcast (about 16 MB as a hash table).
 BROADCAST_ROWS = 200_000
 
+#: Rows of a file where the number of rows is known beforehand: of documents or what comes of them, and of a few numbers.
+TEXT_ROWS, NUMBER_ROWS = 20_000, 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -30,12 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def files_for(rows: int, each: int = TEXT_ROWS) -> int:
+    """Files for so many rows."""
+    return max(1, -(-rows // each))
+
+
+def materialize(df: DataFrame, name: str = "t", files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with replicated, executor-independent files, so that a lost
-    executor costs no recomputation of what came before.
+    executor costs no recomputation of what came before. ``files`` bounds the number
+    of tasks that write, so that small tables aren't dealt out into many small files.
     """
+    df = df if files is None else df.coalesce(files)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshwork/{name}-{uuid.uuid4().hex}"
     schema = df.schema
