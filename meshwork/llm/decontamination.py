@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, files_for, materialize
 
 SHINGLE, SIMILARITY, RADIUS, BLOCK = 5, 0.8, 23, 8
 _FLIPS = [0] + [1 << i for i in range(BLOCK)] + [1 << i | 1 << k for i in range(BLOCK) for k in range(i)]
@@ -63,18 +63,19 @@ def prepare_items(benchmark: DataFrame, similarity: float = SIMILARITY) -> tuple
     words, h, n. anchors: h, words, rep. ids: item_id, rep. rep is the word
     sequence's hash; items without words are left out.
     """
+    files = files_for(benchmark.count())
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text")).alias("ws")).where(F.size("ws") > 0)
-    items = materialize(items.select("item_id", F.size("ws").alias("words"), F.concat_ws(" ", "ws").alias("key"), "ws"), "items")
+    items = materialize(items.select("item_id", F.size("ws").alias("words"), F.concat_ws(" ", "ws").alias("key"), "ws"), "items", files)
     reps = items.groupBy("key").agg(F.min(F.struct("words", "ws")).alias("x")).select("key", F.xxhash64("key").alias("rep"), "x.*")
-    reps = materialize(reps, "reps")
+    reps = materialize(reps, "reps", files)
     hashes = shingle_array(F.col("ws"), F.least("words", F.lit(SHINGLE)))
-    shingles = materialize(reps.select("rep", "words", F.explode(hashes).alias("h")).groupBy("rep", "words", "h").agg(F.count("*").alias("n")), "shingles")
+    shingles = materialize(reps.select("rep", "words", F.explode(hashes).alias("h")).groupBy("rep", "words", "h").agg(F.count("*").alias("n")), "shingles", files)
     common = shingles.groupBy("h").agg(F.count("*").alias("items"))
     ranked = shingles.join(common, "h").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("items", "h")))
     missing = F.floor(_places("words") * F.lit(1 - similarity) + F.lit(1e-9))
     anchors = ranked.where(F.col("rank") <= missing + 1).select("h", "words", "rep")
     ids = items.join(reps.select("key", "rep"), "key").select("item_id", "rep")
-    return materialize(_simhash(shingles, ["rep", "words"]), "item-prints"), shingles, materialize(anchors, "anchors"), materialize(ids, "item-ids")
+    return materialize(_simhash(shingles, ["rep", "words"]), "item-prints", files), shingles, materialize(anchors, "anchors", files), materialize(ids, "item-ids", files)
 
 
 def _places(words: str) -> Column:
@@ -96,7 +97,7 @@ def _windows(texts: DataFrame, shingles: DataFrame, sizes: list[int], similarity
     """(row, first, words): every window with as many of an item's shingles as ``similarity`` takes; texts: row, text, reps."""
     parts = None
     for k in sizes:
-        mine = materialize(shingles.where(F.least("words", F.lit(SHINGLE)) == k).select("rep", "words", "h"), "mine")
+        mine = shingles.where(F.least("words", F.lit(SHINGLE)) == k).select("rep", "words", "h")
         met = _spread(texts, ["row", "reps"], k).join(broadcast_if_small(mine), "h").where(F.array_contains("reps", F.col("rep"))).select("row", "rep", "words", "pos")
         parts = met if parts is None else parts.unionByName(met)
     need = F.greatest(F.ceil(_places("words") * F.lit(similarity) - F.lit(1e-9)), F.lit(1)).cast("int")
@@ -118,32 +119,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     other columns are ignored. ``similarity`` is 0.8 at least, for which RADIUS is made.
     """
     items, item_shingles, anchors, ids = prepare_items(benchmark, similarity)
+    files = files_for(docs.count())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("row"))  # copies of a text are one row
     sizes = sorted(r.k for r in anchors.select(F.least("words", F.lit(SHINGLE)).alias("k")).distinct().collect()) or [SHINGLE]
     hits = None
     for k in sizes:
-        mine = materialize(anchors.where(F.least("words", F.lit(SHINGLE)) == k).select("h").distinct(), "anchor-hashes")
+        mine = anchors.where(F.least("words", F.lit(SHINGLE)) == k).select("h").distinct()
         got = _spread(docs, ["doc_id", "row"], k).join(broadcast_if_small(mine), "h").select("doc_id", "row", "h", F.lit(k).alias("k"))
         hits = got if hits is None else hits.unionByName(got)
-    hits = materialize(hits.distinct(), "hits")
+    hits = materialize(hits.distinct(), "hits", files)
     mine = anchors.select("h", "rep", F.least("words", F.lit(SHINGLE)).alias("k"))
-    met = materialize(hits.select("row", "h", "k").distinct().join(broadcast_if_small(mine), ["h", "k"]).select("row", "rep").distinct(), "met")
+    met = hits.select("row", "h", "k").distinct().join(broadcast_if_small(mine), ["h", "k"])
     # the texts with an anchor are read once more
-    asked = materialize(met.groupBy("row").agg(F.collect_set("rep").alias("reps")), "asked")
+    asked = materialize(met.groupBy("row").agg(F.collect_set("rep").alias("reps")), "asked", files)
     texts = docs.join(broadcast_if_small(asked.select("row")), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
-    texts = materialize(texts.join(asked, "row"), "texts")
-    places = materialize(_windows(texts, item_shingles, sizes, similarity), "places")
+    texts = materialize(texts.join(asked, "row"), "texts", files)
+    places = _windows(texts, item_shingles, sizes, similarity)
     cut = texts.select("row", word_array(F.col("text")).alias("ws")).join(places, "row").select("row", "first", "words", F.slice("ws", F.col("first") + 1, F.col("words")).alias("ws"))
     hashes = shingle_array(F.col("ws"), F.least("words", F.lit(SHINGLE)))
     window = ["row", "first", "words"]
-    shingles = materialize(cut.select(*window, F.explode(hashes).alias("h")).groupBy(*window, "h").agg(F.count("*").alias("n")), "window-shingles")
-    prints = materialize(_simhash(shingles, window), "window-prints")
+    shingles = materialize(cut.select(*window, F.explode(hashes).alias("h")).groupBy(*window, "h").agg(F.count("*").alias("n")), "window-shingles", 4 * files)
+    prints = _simhash(shingles, window)
     probe = prints.select(*window, "simhash", "m", F.posexplode(_blocks(F.col("simhash"))).alias("block", "v"))
     probe = probe.select(*window, "simhash", "m", "block", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in _FLIPS])).alias("v"))
     index = items.select("rep", "words", F.col("m").alias("item_m"), F.col("simhash").alias("item_hash"), F.posexplode(_blocks(F.col("simhash"))).alias("block", "v"))
-    index = materialize(index, "blocks")
     near = probe.join(broadcast_if_small(index), ["words", "block", "v"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_hash"))) <= RADIUS)
-    pairs = materialize(near.select(*window, "m", "rep", "item_m").distinct(), "pairs")
+    pairs = near.select(*window, "m", "rep", "item_m").distinct()
     other = item_shingles.select("rep", "h", F.col("n").alias("item_n"))
     both = pairs.join(shingles, window).join(broadcast_if_small(other), ["rep", "h"]).groupBy(*window, "rep", "m", "item_m").agg(F.sum(F.least("n", "item_n")).alias("both"))
     scored = both.withColumn("similarity", F.col("both") / (F.col("m") + F.col("item_m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
@@ -159,4 +160,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     A null doc_id is an id like any other; an empty table gives an empty result.
     """
     bad = find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(broadcast_if_small(materialize(bad, "leaked")), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    return docs.join(broadcast_if_small(materialize(bad, "leaked", files_for(docs.count()))), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, files_for, materialize
 from .text import WORD
 
 DIGIT = 12  # bits of a rounding key that one histogram resolves
@@ -33,7 +33,8 @@ _ROW, _PART = "__row", "__part"
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
     """``docs`` as written, with a number of its own for each row and its partition's."""
-    return materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()).withColumn(_PART, F.spark_partition_id()), "rows")
+    files = files_for(docs.count())
+    return materialize(docs.coalesce(files).withColumn(_ROW, F.monotonically_increasing_id()).withColumn(_PART, F.spark_partition_id()), "rows")
 
 
 def sized(docs: DataFrame, prior: str | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def sized(docs: DataFrame, prior: str | None = None) -> DataFrame:
     return docs.select(*ids, size.alias("size"), q.alias("q"), F.xxhash64("text").alias("body"))
 
 
-def with_turns(base: DataFrame) -> DataFrame:
+def with_turns(base: DataFrame, files: int) -> DataFrame:
     """A materialised ``base`` with nth: 0, 1, 2 ... among the rows of one id and text, however they are spread.
 
     Repeats are numbered within their partitions, and partitions by their counts, so
@@ -56,14 +57,14 @@ def with_turns(base: DataFrame) -> DataFrame:
     ahead = F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     every = F.sum("n").over(Window.partitionBy(*keys))
     per = per.withColumn("ahead", F.coalesce(ahead, F.lit(0))).withColumn("every", every).where("every > 1")
-    p = materialize(per.select(*[F.col(k).alias(f"r_{k}") for k in [*keys, "part"]], "ahead"), "repeats")
+    p = materialize(per.select(*[F.col(k).alias(f"r_{k}") for k in [*keys, "part"]], "ahead"), "repeats", files)
     same = F.col("part") == F.col("r_part")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
     nth = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("row")) - 1 + F.col("ahead")
     turns = some.join(broadcast_if_small(p), same).select(F.col("row").alias("r"), nth.alias("nth")).where("nth > 0")
-    turns = broadcast_if_small(materialize(turns, "turns"))
-    return materialize(base.join(turns, F.col("row") == F.col("r"), "left").drop("r", "part").withColumn("nth", F.coalesce("nth", F.lit(0))), "numbered")
+    turns = broadcast_if_small(materialize(turns, "turns", files))
+    return materialize(base.join(turns, F.col("row") == F.col("r"), "left").drop("r", "part").withColumn("nth", F.coalesce("nth", F.lit(0))), "numbered", files)
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -167,10 +168,11 @@ def _rated(base: DataFrame, tilts: DataFrame, cap: int, seed: int) -> DataFrame:
 
 def copies(base: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, seed: int = 7, fills: int = 6) -> DataFrame:
     """row, doc_id, size, source_size, target, rate and copies of every row of a ``base`` (see :func:`with_turns`)."""
-    cells = materialize(base.groupBy("source", "q", "size").agg(F.count("*").alias("n")), "cells")
+    files = files_for(base.count())
+    cells = materialize(base.groupBy("source", "q", "size").agg(F.count("*").alias("n")), "cells", files)
     goals = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
     tilts = materialize(multipliers(cells, materialize(goals, "goals"), cap), "tilts")
-    rated = materialize(_rated(base, tilts, cap, seed).drop("body", "nth", "q", "lam", "mean"), "rated")
+    rated = materialize(_rated(base, tilts, cap, seed).drop("body", "nth", "q", "lam", "mean"), "rated", files)
     room = rated.groupBy("source", "target").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("room")).drop("target")
     cut = _cut(rated, materialize(room, "room"))
     more = (F.col("fraction") > 0) & (F.col("key") < F.col("cut"))
@@ -206,8 +208,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     doc_id is an id like any other. Repeated rows are rounded each on its own. An
     empty table gives an empty result; other columns are ignored.
     """
-    row = [F.monotonically_increasing_id().alias(_ROW), F.spark_partition_id().alias(_PART), "doc_id", "text", "source", *([prior] if prior else [])]
-    base = with_turns(materialize(sized(docs.select(*row), prior), "sized"))
+    files = files_for(docs.count())
+    some = docs.select("doc_id", "text", "source", *([prior] if prior else [])).coalesce(files)
+    some = some.withColumn(_ROW, F.monotonically_increasing_id()).withColumn(_PART, F.spark_partition_id())
+    base = with_turns(materialize(sized(some, prior), "sized"), files)
     out = copies(base, weights, share, cap, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
 
@@ -218,6 +222,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     Null and repeated ids, null texts and sources and empty tables are as in :func:`mix_sources`.
     """
     rows = numbered_rows(docs)
-    taken = copies(with_turns(materialize(sized(rows, prior), "sized")), weights, share, cap, seed).where("copies > 0").select(F.col("row").alias(_ROW), F.col("copies").cast("int").alias("__copies"))
-    out = rows.join(broadcast_if_small(materialize(taken, "taken")), _ROW)
+    files = files_for(rows.count())
+    taken = copies(with_turns(materialize(sized(rows, prior), "sized", files), files), weights, share, cap, seed).where("copies > 0").select(F.col("row").alias(_ROW), F.col("copies").cast("int").alias("__copies"))
+    out = rows.join(broadcast_if_small(materialize(taken, "taken", files)), _ROW)
     return out.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)

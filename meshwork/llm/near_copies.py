@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import broadcast_if_small, drop_table, materialize
+from ..session import NUMBER_ROWS, broadcast_if_small, drop_table, files_for, materialize
 from .simhash import SEED, group_prints, shingle_hashes, simhash_of
 from .text import ROWS as TEXTS
 from .text import map_texts, words
@@ -99,10 +99,11 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 def alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The (a, b) of materialised ``pairs`` whose texts' shingle sets have at least ``similarity``; ids are distinct."""
-    many = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "many")
+    files = files_for(pairs.count(), NUMBER_ROWS)
+    many = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "many", files)
     members = pairs.join(many, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role"))
     heads = many.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    asked = materialize(members.unionByName(heads).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "role")).alias("groups")), "asked")
+    asked = materialize(members.unionByName(heads).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "role")).alias("groups")), "asked", files)
     some = docs.join(broadcast_if_small(asked.select("doc_id"), IDS), "doc_id", "left_semi").join(asked, "doc_id")
     kinds = pa.schema([("a", pa.int64()), ("part", pa.int32()), ("role", pa.int32()), ("b", pa.int64()), ("hashes", pa.binary())])
 
@@ -140,24 +141,24 @@ class _Components:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float):
         self.docs, self.shingle, self.similarity = docs, shingle, similarity
-        self.named = materialize(nodes.select("node", F.col("node").alias("component")), "components")
+        self.files = files_for(nodes.count(), NUMBER_ROWS)
+        self.named = nodes.select("node", F.col("node").alias("component"))
         self.tested = None
 
     def compare(self, pairs: DataFrame) -> float:
         """Compare (a, b), join what is linked; the share of pairs that are."""
-        pairs = materialize(pairs, "compared")
-        links = materialize(alike(self.docs, pairs, self.shingle, self.similarity), "links")
+        pairs = materialize(pairs, "compared", 8 * self.files)
         both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        self.tested = materialize(both if self.tested is None else self.tested.unionByName(both), "tested")
+        self.tested = both if self.tested is None else self.tested.unionByName(both)
+        links = materialize(alike(self.docs, pairs, self.shingle, self.similarity), "links", self.files)
         linked = links.count()
         if not linked:
             return 0.0
         of = self.named
         ends = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select("ca", "cb")
-        joined = materialize(connected_components(ends, "ca", "cb"), "joined")
+        joined = materialize(connected_components(ends, "ca", "cb"), "joined", self.files)
         after = of.join(joined.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-        self.named = materialize(after, "components")
-        drop_table(of)
+        self.named = materialize(after, "components", self.files)
         return linked / pairs.count()
 
     def untested(self, pairs: DataFrame) -> DataFrame:
@@ -175,16 +176,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     words than a shingle has is a shingle as a whole. Ties and repeated texts are one
     node; an empty table gives an empty result; other columns are ignored.
     """
-    signed = materialize(_signatures(docs, shingle), "signatures")
-    nodes = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
-    own = materialize(signed.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").where("n > 0").drop("key"), "own")
+    rows = docs.count()
+    files = files_for(rows)
+    signed = materialize(_signatures(docs, shingle), "signatures", files)
+    nodes = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes", files_for(rows, NUMBER_ROWS))
+    own = materialize(signed.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").where("n > 0").drop("key"), "own", files)
     state = _Components(docs, nodes, shingle, similarity)
     groups = group_prints(own.select("doc_id", "simhash")).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     state.compare(groups)
 
     keys = own.select(F.col("doc_id").alias("node"), "n", "low0", "low1", F.explode("bands").alias("band"))
     crowded = keys.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    shared = materialize(keys.join(crowded, "band"), "shared")
+    shared = materialize(keys.join(crowded, "band"), "shared", files)
     bits = F.bit_count(F.col("low0").bitwiseXOR(F.col("r_low0"))) + F.bit_count(F.col("low1").bitwiseXOR(F.col("r_low1")))
     possible = (F.least("n", "r_n") / F.greatest("n", "r_n") >= similarity) & (bits <= APART)
 
@@ -192,7 +195,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         """Nodes by key, with their components, where a key has several."""
         now = shared.join(state.named, "node")
         several = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        return materialize(now.join(several, "band"), "mixed")
+        return materialize(now.join(several, "band"), "mixed", files)
 
     turn, share = 0, 1.0
     while share >= WORTH:

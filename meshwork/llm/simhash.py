@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import broadcast_if_small, materialize
+from ..session import NUMBER_ROWS, broadcast_if_small, files_for, materialize
 from .text import map_texts, words
 
 RADIUS, SEED = 3, 42
@@ -110,16 +110,17 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     rows come back repeated; an empty table gives an empty result; other columns
     are ignored.
     """
-    return group_prints(materialize(fingerprints(docs, shingle), "simhash")).select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    return group_prints(materialize(fingerprints(docs, shingle), "simhash", files_for(docs.count()))).select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
 def group_prints(prints: DataFrame) -> DataFrame:
     """doc_id, simhash, component_id and links of materialised ``prints`` (doc_id, simhash): see :func:`near_groups`."""
-    nodes = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")), "nodes")
-    pairs = materialize(near_pairs(nodes.select("simhash")), "pairs")
+    files = files_for(prints.count(), NUMBER_ROWS)
+    nodes = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")), "nodes", files)
+    pairs = materialize(near_pairs(nodes.select("simhash")), "pairs", 8 * files)
     groups = connected_components(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    linked = materialize(groups.join(ends, "node").join(nodes.withColumnRenamed("simhash", "node"), "node"), "linked")
+    linked = materialize(groups.join(ends, "node").join(nodes.withColumnRenamed("simhash", "node"), "node"), "linked", files)
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "component").select(F.col("node").alias("simhash"), "component_id", "links")
     every = nodes.join(named, "simhash", "left").select("simhash", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
@@ -132,10 +133,11 @@ def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near
     Rows are told apart by a number of their own, so null and repeated ids lose
     nothing; a row with a null id stands for a component only where it has no other.
     """
-    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    files = files_for(docs.count())
+    rows = materialize(docs.coalesce(files).withColumn(_ROW, F.monotonically_increasing_id()), "rows")
     found = groups(rows.select(F.col(_ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ROW), "component_id")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(_ROW).alias("row")).alias("order")
-    named = materialize(found.join(rows.select(_ROW, order), _ROW), "named")
+    named = materialize(found.join(rows.select(_ROW, order), _ROW), "named", files)
     kept = named.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias(_ROW))
-    dropped = materialize(named.select(_ROW).join(kept, _ROW, "left_anti"), "dropped")
+    dropped = materialize(named.select(_ROW).join(kept, _ROW, "left_anti"), "dropped", files)
     return rows.join(broadcast_if_small(dropped), _ROW, "left_anti").drop(_ROW)
