@@ -12,17 +12,17 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges``; a component is named by its least node.
 
     Direction, repeats and self loops don't matter; edges with a null end are no
     edges. Every round is two grouped minima, which combine before the shuffle,
     and joins against one row per node; rounds grow with the logarithm of the
-    longest path. Each round is written to the shared folder.
+    longest path. Each round is written to the shared folder, the first in ``files`` at most.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    now = materialize(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+    now = materialize(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star", files)
     before = None
     while (digest := _digest(now)) != before and digest[0]:
         before = digest
