@@ -156,7 +156,7 @@ class _Components:
             return 0.0
         of = self.named
         ends = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select("ca", "cb")
-        joined = materialize(connected_components(ends, "ca", "cb"), "joined", self.files)
+        joined = materialize(connected_components(ends, "ca", "cb", self.files), "joined", self.files)
         after = of.join(joined.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
         self.named = materialize(after, "components", self.files)
         return linked / pairs.count()

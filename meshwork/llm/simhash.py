@@ -118,7 +118,7 @@ def group_prints(prints: DataFrame) -> DataFrame:
     files = files_for(prints.count(), NUMBER_ROWS)
     nodes = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")), "nodes", files)
     pairs = materialize(near_pairs(nodes.select("simhash")), "pairs", 8 * files)
-    groups = connected_components(pairs)
+    groups = connected_components(pairs, files=files)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     linked = materialize(groups.join(ends, "node").join(nodes.withColumnRenamed("simhash", "node"), "node"), "linked", files)
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
