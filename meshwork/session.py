@@ -18,14 +18,16 @@ TEXT_ROWS, NUMBER_ROWS = 20_000, 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a single local JVM) a temporary
-    folder is made, once per Spark context.
+    Only where that setting is absent and all run in one local JVM, as in tests, a
+    temporary folder is made, once per Spark context; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="meshwork-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
