@@ -147,7 +147,9 @@ def format_chats(turns: DataFrame, begin: str = "<|im_start|>", end: str = "<|im
     turns of the part), n_merged, n_relabeled, n_inserted, cost and rendered. The
     parts of a conversation, in order of ``part``, join to its rendering, one
     ``begin role LF text end LF`` per repaired turn, merged texts joined by LF. A
-    conversation has one part, 0, unless it spans partitions or PART_CHARS.
+    conversation has one part, 0, unless it spans partitions or PART_CHARS. Where a
+    text has ``begin`` or ``end`` itself, a blank after its first character keeps
+    it from being read as one.
 
     Turns are taken by turn, role, text, nulls first. A null text is empty, a null
     or unknown role is relabelled or merged, all rows with a null conv_id are one
@@ -159,6 +161,7 @@ def format_chats(turns: DataFrame, begin: str = "<|im_start|>", end: str = "<|im
     keys = ["conv_id", "turn", "role", "text"]
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "role", "text").checkpoint()
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -193,7 +196,8 @@ def format_chats(turns: DataFrame, begin: str = "<|im_start|>", end: str = "<|im
                 if length >= PART_CHARS:
                     yield (conv, number, *counts, "".join(text))
                     number, text, counts, length = number + 1, [], [0] * 5, 0
-                piece = ""
+                for mark in (begin, end):
+                    body = body.replace(mark, f"{mark[:1]} {mark[1:]}")
                 if action.startswith("merge"):
                     piece = "\n" + body
                 else:

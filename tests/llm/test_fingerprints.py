@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 
-from meshwork.llm.fingerprints import fingerprint, fingerprint_neighbours, likeness, packed
+from meshwork.llm.fingerprints import fingerprint, fingerprint_neighbours, likeness, packed, shingle_hashes
 from meshwork.llm.text import words
 
 
@@ -51,3 +51,33 @@ def test_edges():
     assert fingerprint([]) is None and likeness(None, None) == 1.0 and likeness(None, fingerprint([b"a"])) == 0.0
     assert likeness(fingerprint([b"a", b"b"]), fingerprint([b"a", b"b"])) == 1.0
     assert likeness(fingerprint([b"a"] * 4), fingerprint([b"a"] * 5)) < 0.3
+
+
+def test_bins_and_borrowing_written_out():
+    """One permutation, bin by bin: the least hash of each bin, an empty bin takes the first filled one of its tries, at last the least."""
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return h ^ (h >> 31)
+
+    for n in (1, 4, 5, 6, 30, 300, 5000):
+        ws = [f"w{i * 37 % 1009}".encode() for i in range(n)]
+        least = {}
+        for h in map(int, shingle_hashes(ws)):
+            least[h >> 55] = min(h, least.get(h >> 55, mask))
+        assert len(shingle_hashes(ws)) == max(1, n - 4)
+        want = []
+        for b in range(512):
+            at, t = b, 0
+            while at not in least:
+                at, t = (mixed((t << 9) + b + 1) >> 55, t + 1) if t < 1096 else (min(least), t)
+            want.append(least[at] & 15)
+        assert fingerprint(ws).tolist() == want
+
+
+def test_shingle_hashes_follow_their_words():
+    a, b = shingle_hashes([b"a", b"b", b"c", b"d", b"e", b"f"]), shingle_hashes([b"b", b"c", b"d", b"e", b"f", b"g"])
+    assert a[1] == b[0] and len({*a.tolist(), *b.tolist()}) == 3
+    assert shingle_hashes([b"a", b"b"])[0] != shingle_hashes([b"b", b"a"])[0]
