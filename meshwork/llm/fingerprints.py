@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
 from .ranges import TOGETHER, range_cuts, run_of
-from .text import ROWS, words
+from .text import ROWS, small_batches, words
 
 SHINGLE, BITS = 5, 4
 BIN_BITS = 9
@@ -144,6 +144,7 @@ def fingerprint_neighbours(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataF
     table gives an empty result; other columns are ignored.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    small_batches(docs.sparkSession)
     rows, buckets = _marked(docs, run_chars)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 

@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Characters of text that one step of a Python worker holds at most, besides a single longer text.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 
-#: Rows of a batch that are turned into Python objects at a time.
-ROWS = 1_000
+#: Rows that one step holds at most.
+STEP_ROWS = 250
+
+#: Rows and bytes of a batch between Spark and its Python workers, at most: texts are long, and batches lie outside the heap.
+ROWS, BATCH_BYTES = 1_000, 8 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of batches to those above; smaller ones stay."""
+    for key, most in _BATCHES.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -44,13 +56,14 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], di
     ``make`` runs once in each task and returns the function from ids and texts
     to columns. Other columns of ``docs`` are not read.
     """
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, f = to_arrow_schema(spec), make()
-        for b in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+        for b in (b.slice(i, STEP_ROWS) for b in batches for i in range(0, len(b), STEP_ROWS)):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for s in steps(texts):
                 out = f(ids[s], texts[s])

@@ -23,6 +23,7 @@ documents are encoded, whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, shared_dir
 from .ranges import TOGETHER, range_cuts
-from .text import ROWS, map_texts
+from .text import ROWS, map_texts, small_batches
 
 #: Documents that the dictionary is trained on, ids of a piece of them, and its size.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2_000, 4_096, 64 << 10
@@ -46,7 +47,7 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2_000, 4_096, 64 << 10
 BUCKET_CHARS, SHARD_BYTES, GROUP_BYTES = 4 << 20, 1 << 20, 8 << 20
 
 #: Bytes of remembered segments after which a worker starts anew, besides OWN of each, and segments that go to the library as one text.
-MEMORY, OWN, JOINT = 96 << 20, 220, 200
+MEMORY, OWN, JOINT = 64 << 20, 220, 200
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u4"), ("n_tokens", "<u4")])
 _SPACED = re.compile(r"\s ")
@@ -65,6 +66,7 @@ class SegmentEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -243,6 +245,7 @@ def _decode(payload: bytes, index: np.ndarray, which: Iterator[int], dictionary:
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files, in no order."""
+    small_batches(spark)
     shards, dictionary, width = open_store(spark, store)
     digest = hashlib.sha256(dictionary).hexdigest()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
