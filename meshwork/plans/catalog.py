@@ -42,9 +42,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 _B = N.BASE
 _H1 = "nbr AS (SELECT p_partkey AS u, 1 AS type, p_type AS v FROM part UNION SELECT l_partkey, 2, CAST(l_suppkey AS VARCHAR) FROM lineitem)"
-_H2 = "nbr AS (SELECT c_custkey AS u, 1 AS type, CAST(c_nationkey AS VARCHAR) AS v FROM customer UNION SELECT o_custkey, 2, CAST(l_suppkey AS VARCHAR) FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_H2 = """nbr AS (SELECT c_custkey AS u, 1 AS type, CAST(c_nationkey AS VARCHAR) AS v FROM customer UNION SELECT o_custkey, 2, CAST(l_suppkey AS
+  VARCHAR) FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 _H3 = "nbr AS (SELECT p_partkey AS u, 1 AS type, p_brand AS v FROM part UNION SELECT p_partkey, 2, unnest(string_split(p_name, ' ')) FROM part)"
-_H4 = "nbr AS (SELECT o_orderkey AS u, 1 AS type, CAST(o_custkey AS VARCHAR) AS v FROM orders UNION SELECT l_orderkey, 2, CAST(l_suppkey AS VARCHAR) FROM lineitem)"
+_H4 = """nbr AS (SELECT o_orderkey AS u, 1 AS type, CAST(o_custkey AS VARCHAR) AS v FROM orders UNION SELECT l_orderkey, 2, CAST(l_suppkey AS
+  VARCHAR) FROM lineitem)"""
 _SIM = """n AS (SELECT u, type, count(*) AS n FROM nbr GROUP BY u, type),
 c AS (SELECT a.u, b.u AS w, a.type, count(*) AS c FROM nbr a JOIN nbr b ON a.type = b.type AND a.v = b.v GROUP BY a.u, b.u, a.type),
 sim AS (SELECT c.u, c.w, c.type, c.c::DOUBLE / (x.n + y.n - c.c) AS s, c.c, x.n AS na, y.n AS nb FROM c JOIN n x ON c.u = x.u AND c.type = x.type JOIN n y ON c.w = y.u AND c.type = y.type)"""
@@ -97,14 +99,20 @@ def hin_schema(spark, d):
     return N.network(spark, d).schema()
 
 
-@query(f"WITH RECURSIVE {_HIN}, t AS (SELECT DISTINCT src_type, dst_type FROM edges6), walk AS (SELECT 0 AS type, 0 AS distance UNION SELECT t.dst_type, distance + 1 FROM walk JOIN t ON walk.type = t.src_type WHERE distance < 5) SELECT type, min(distance) AS distance FROM walk GROUP BY type")
+@query(f"""WITH RECURSIVE {_HIN},
+t AS (SELECT DISTINCT src_type, dst_type FROM edges6),
+walk AS (SELECT 0 AS type, 0 AS distance UNION SELECT t.dst_type, distance + 1 FROM walk JOIN t ON walk.type = t.src_type WHERE distance <
+  5)
+SELECT type, min(distance) AS distance FROM walk GROUP BY type""")
 def schema_distance(spark, d):
     """Hops between types, from customers."""
     found = neighborhood.schema_distance(N.network(spark, d), N.CUSTOMER)
     return spark.createDataFrame(sorted(found.items()), "type int, distance int")
 
 
-@query(f"WITH {_HIN}, q AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS local_id, count(*) OVER () AS n FROM vertices WHERE type = 0) SELECT id FROM q WHERE local_id >= 1 AND (local_id - 1) % (n // 20) = 0 AND local_id < 1 + 20 * (n // 20)")
+@query(f"""WITH {_HIN},
+q AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS local_id, count(*) OVER () AS n FROM vertices WHERE type = 0)
+SELECT id FROM q WHERE local_id >= 1 AND (local_id - 1) % (n // 20) = 0 AND local_id < 1 + 20 * (n // 20)""")
 def stride_sample(spark, d):
     """Twenty customers at even strides."""
     hin = N.network(spark, d)
@@ -113,14 +121,17 @@ def stride_sample(spark, d):
     return neighborhood.stride_sample(own.withColumn("local_id", F.col("id") - low), n, 20).select("id")
 
 
-@query(f"WITH {_HIN} SELECT DISTINCT src AS u, dst_type AS type, dst AS v FROM edges6 WHERE src_type = 1 UNION SELECT id, type, id FROM vertices WHERE type = 1")
+@query(f"""WITH {_HIN}
+SELECT DISTINCT src AS u, dst_type AS type, dst AS v FROM edges6 WHERE src_type = 1 UNION SELECT id, type, id FROM vertices WHERE type = 1""")
 def dhop_d1(spark, d):
     """Neighbourhoods of orders within one hop."""
     hin = N.network(spark, d)
     return neighborhood.d_hop(hin, hin.of_type(N.ORDER), 1)
 
 
-_D2 = f"{_HIN}, two AS (SELECT id AS u, id AS v FROM vertices WHERE type = 0 UNION SELECT src, dst FROM edges6 WHERE src_type = 0 UNION SELECT a.src, b.dst FROM edges6 a JOIN edges6 b ON a.dst = b.src WHERE a.src_type = 0)"
+_D2 = f"""{_HIN},
+two AS (SELECT id AS u, id AS v FROM vertices WHERE type = 0 UNION SELECT src, dst FROM edges6 WHERE src_type = 0 UNION SELECT a.src, b.dst
+  FROM edges6 a JOIN edges6 b ON a.dst = b.src WHERE a.src_type = 0)"""
 
 
 @query(f"WITH {_D2} SELECT u, x.type, count(*) AS n FROM two JOIN vertices x ON v = x.id GROUP BY u, x.type")
@@ -130,14 +141,18 @@ def dhop_d2(spark, d):
     return neighborhood.d_hop(hin, hin.of_type(N.CUSTOMER), 2).groupBy("u", "type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_D2}, m AS (SELECT u, x.type, count(*) AS n FROM two JOIN vertices x ON v = x.id GROUP BY u, x.type) SELECT type, min(n) AS least, max(n) AS most FROM m GROUP BY type")
+@query(f"""WITH {_D2},
+m AS (SELECT u, x.type, count(*) AS n FROM two JOIN vertices x ON v = x.id GROUP BY u, x.type)
+SELECT type, min(n) AS least, max(n) AS most FROM m GROUP BY type""")
 def dhop_degree_stats(spark, d):
     """Least and most neighbours of customers by type."""
     hin = N.network(spark, d)
     return neighborhood.degree_stats(neighborhood.d_hop(hin, hin.of_type(N.CUSTOMER), 2))
 
 
-@query(f"WITH {_H4} SELECT o_orderkey AS u, t.type FROM orders, (SELECT unnest([1, 2]) AS type) t WHERE NOT EXISTS (SELECT 1 FROM nbr WHERE nbr.u = o_orderkey AND nbr.type = t.type)")
+@query(f"""WITH {_H4}
+SELECT o_orderkey AS u, t.type FROM orders, (SELECT unnest([1, 2]) AS type) t WHERE NOT EXISTS (SELECT 1 FROM nbr WHERE nbr.u = o_orderkey
+  AND nbr.type = t.type)""")
 def empty_sets(spark, d):
     """Orders without customer or supplier."""
     return neighborhood.empty_sets(N.order_supply(spark, d), N.vertices_of(spark, d, "orders", "o_orderkey").withColumnRenamed("u", "id"), [1, 2])
@@ -166,13 +181,20 @@ def eps_edges(spark, d):
     return similarity.similar_edges(N.part_supply(spark, d), EPS)
 
 
-@query(f"WITH {_H4}, {_SIM}, paired AS (SELECT u, w FROM sim WHERE s >= 0.3::DOUBLE GROUP BY u, w HAVING count(*) = 2), bare AS (SELECT o_orderkey AS u FROM orders WHERE o_orderkey NOT IN (SELECT u FROM nbr WHERE type = 2)) SELECT u, w FROM paired UNION SELECT s.u, s.w FROM sim s JOIN bare a ON s.u = a.u JOIN bare b ON s.w = b.u WHERE s.type = 1")
+@query(f"""WITH {_H4},
+{_SIM},
+paired AS (SELECT u, w FROM sim WHERE s >= 0.3::DOUBLE GROUP BY u, w HAVING count(*) = 2),
+bare AS (SELECT o_orderkey AS u FROM orders WHERE o_orderkey NOT IN (SELECT u FROM nbr WHERE type = 2))
+SELECT u, w FROM paired UNION SELECT s.u, s.w FROM sim s JOIN bare a ON s.u = a.u JOIN bare b ON s.w = b.u WHERE s.type = 1""")
 def eps_edges_with_empty(spark, d):
     """Similar orders; two without suppliers are alike in these."""
     return similarity.similar_edges(N.order_supply(spark, d), EPS)
 
 
-@query(f"WITH {_H3}, {_SIM}, t AS (SELECT u, w, sum(s) AS s, max(CASE WHEN type = 2 THEN 1 ELSE 0 END) AS g FROM sim GROUP BY u, w) SELECT u, w FROM t WHERE g = 1 AND s >= 0.6::DOUBLE - 1e-12")
+@query(f"""WITH {_H3},
+{_SIM},
+t AS (SELECT u, w, sum(s) AS s, max(CASE WHEN type = 2 THEN 1 ELSE 0 END) AS g FROM sim GROUP BY u, w)
+SELECT u, w FROM t WHERE g = 1 AND s >= 0.6::DOUBLE - 1e-12""")
 def sum_edges(spark, d):
     """Parts whose similarities add up to the thresholds' sum."""
     return similarity.sum_edges(N.part_words(spark, d), EPS, 2)
@@ -231,7 +253,11 @@ def cd_output(spark, d):
     return _h1_output(spark, d)
 
 
-@query(f"{_H1_SCAN}, {_ROLES}, once AS (SELECT v, min(role) AS role FROM output GROUP BY v) SELECT (SELECT count(DISTINCT cid) FROM members) AS communities, count_if(role IN ('c', 'n')) AS members, count_if(role = 'c') AS cores, count_if(role = 'n') AS noncores, count_if(role = 'h') AS hubs, count_if(role = 'o') AS outliers FROM once")
+@query(f"""{_H1_SCAN},
+{_ROLES},
+once AS (SELECT v, min(role) AS role FROM output GROUP BY v)
+SELECT (SELECT count(DISTINCT cid) FROM members) AS communities, count_if(role IN ('c', 'n')) AS members, count_if(role = 'c') AS cores,
+  count_if(role = 'n') AS noncores, count_if(role = 'h') AS hubs, count_if(role = 'o') AS outliers FROM once""")
 def cd_summary(spark, d):
     """Counts of a detection."""
     return community.summary(_h1_output(spark, d))
@@ -257,7 +283,12 @@ def scan_search_expand(spark, d):
     return community.expand_search(_h1_edges(spark, d), MU, q)
 
 
-_KCORE = f"WITH RECURSIVE {_H1}, {_SIM}, {_EDGES}, alive(it, u) AS (SELECT DISTINCT 0, u FROM edges UNION ALL SELECT a.it + 1, e.u FROM edges e JOIN alive a ON e.u = a.u JOIN alive b ON e.w = b.u AND b.it = a.it WHERE a.it < 20 GROUP BY a.it, e.u HAVING count(*) >= 3), kcore AS (SELECT u FROM alive WHERE it = 20)"
+_KCORE = f"""WITH RECURSIVE {_H1},
+{_SIM},
+{_EDGES},
+alive(it, u) AS (SELECT DISTINCT 0, u FROM edges UNION ALL SELECT a.it + 1, e.u FROM edges e JOIN alive a ON e.u = a.u JOIN alive b ON e.w =
+  b.u AND b.it = a.it WHERE a.it < 20 GROUP BY a.it, e.u HAVING count(*) >= 3),
+kcore AS (SELECT u FROM alive WHERE it = 20)"""
 
 
 @query(f"{_KCORE} SELECT u FROM kcore")
@@ -266,7 +297,10 @@ def kcore_vertices(spark, d):
     return community.k_core(_h1_edges(spark, d), 3)
 
 
-@query(f"{_KCORE}, kk AS (SELECT e.u, e.w FROM edges e JOIN kcore a ON e.u = a.u JOIN kcore b ON e.w = b.u), hit AS (SELECT u AS q, u AS v FROM kcore WHERE u % 20 = 0 UNION SELECT h.q, k.w FROM hit h JOIN kk k ON h.v = k.u) SELECT q, v FROM hit")
+@query(f"""{_KCORE},
+kk AS (SELECT e.u, e.w FROM edges e JOIN kcore a ON e.u = a.u JOIN kcore b ON e.w = b.u),
+hit AS (SELECT u AS q, u AS v FROM kcore WHERE u % 20 = 0 UNION SELECT h.q, k.w FROM hit h JOIN kk k ON h.v = k.u)
+SELECT q, v FROM hit""")
 def kcore_search(spark, d):
     """Connected 3-cores of every twentieth part."""
     q = N.vertices_of(spark, d, "part", "p_partkey").where("u % 20 = 0").withColumnRenamed("u", "id")
@@ -276,8 +310,16 @@ def kcore_search(spark, d):
 # -- meta-paths ------------------------------------------------------------------------
 
 
-_SOS = f"{_HIN}, half AS (SELECT src, dst, count(*) AS k FROM edges6 WHERE src_type = 3 AND dst_type = 1 GROUP BY src, dst), sos AS (SELECT a.src AS u, b.src AS w, sum(a.k * b.k)::BIGINT AS cnt FROM half a JOIN half b ON a.dst = b.dst GROUP BY a.src, b.src), sn AS (SELECT src, dst FROM edges6 WHERE src_type = 3 AND dst_type = 4), sns AS (SELECT a.src AS u, b.src AS w, count(*) AS cnt FROM sn a JOIN sn b ON a.dst = b.dst GROUP BY a.src, b.src)"
-_PS = "ps AS (SELECT p.u, p.w, (coalesce(2.0 * a.cnt, 0) / (ai.cnt + aj.cnt) + coalesce(2.0 * b.cnt, 0) / (bi.cnt + bj.cnt)) / 2 AS s, coalesce(2.0 * a.cnt, 0) / (ai.cnt + aj.cnt) AS s1, coalesce(2.0 * b.cnt, 0) / (bi.cnt + bj.cnt) AS s2, a.cnt AS c1, b.cnt AS c2 FROM (SELECT u, w FROM sns UNION SELECT u, w FROM sos) p LEFT JOIN sns a ON a.u = p.u AND a.w = p.w LEFT JOIN sos b ON b.u = p.u AND b.w = p.w JOIN sns ai ON ai.u = p.u AND ai.w = p.u JOIN sns aj ON aj.u = p.w AND aj.w = p.w JOIN sos bi ON bi.u = p.u AND bi.w = p.u JOIN sos bj ON bj.u = p.w AND bj.w = p.w)"
+_SOS = f"""{_HIN},
+half AS (SELECT src, dst, count(*) AS k FROM edges6 WHERE src_type = 3 AND dst_type = 1 GROUP BY src, dst),
+sos AS (SELECT a.src AS u, b.src AS w, sum(a.k * b.k)::BIGINT AS cnt FROM half a JOIN half b ON a.dst = b.dst GROUP BY a.src, b.src),
+sn AS (SELECT src, dst FROM edges6 WHERE src_type = 3 AND dst_type = 4),
+sns AS (SELECT a.src AS u, b.src AS w, count(*) AS cnt FROM sn a JOIN sn b ON a.dst = b.dst GROUP BY a.src, b.src)"""
+_PS = """ps AS (SELECT p.u, p.w, (coalesce(2.0 * a.cnt, 0) / (ai.cnt + aj.cnt) + coalesce(2.0 * b.cnt, 0) / (bi.cnt + bj.cnt)) / 2 AS s, coalesce(2.0
+  * a.cnt, 0) / (ai.cnt + aj.cnt) AS s1, coalesce(2.0 * b.cnt, 0) / (bi.cnt + bj.cnt) AS s2, a.cnt AS c1, b.cnt AS c2 FROM (SELECT u, w FROM
+  sns UNION SELECT u, w FROM sos) p LEFT JOIN sns a ON a.u = p.u AND a.w = p.w LEFT JOIN sos b ON b.u = p.u AND b.w = p.w JOIN sns ai ON
+  ai.u = p.u AND ai.w = p.u JOIN sns aj ON aj.u = p.w AND aj.w = p.w JOIN sos bi ON bi.u = p.u AND bi.w = p.u JOIN sos bj ON bj.u = p.w AND
+  bj.w = p.w)"""
 
 
 @query(f"WITH {_SOS} SELECT u, w, cnt FROM sos")
@@ -292,7 +334,11 @@ def pathsim_pairs(spark, d):
     return metapath.pathsim_pairs(N.network(spark, d), [S_N_S, S_O_S]).select("u", "w", F.round("s", 9).alias("s"))
 
 
-@query(f"WITH RECURSIVE {_SOS}, {_PS}, edges AS (SELECT u, w FROM ps WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND s1 >= 0.3 AND s2 >= 0.005), {_scan(3)} SELECT v, cid, role FROM members")
+@query(f"""WITH RECURSIVE {_SOS},
+{_PS},
+edges AS (SELECT u, w FROM ps WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND s1 >= 0.3 AND s2 >= 0.005),
+{_scan(3)}
+SELECT v, cid, role FROM members""")
 def pathsim_clusters(spark, d):
     """Communities of suppliers by PathSim."""
     edges = metapath.pathsim_edges(N.network(spark, d), [(S_N_S, 0.3), (S_O_S, 0.005)])
@@ -317,13 +363,23 @@ def homo_degree(spark, d):
     return metapath.projected_degrees(N.network(spark, d), S_O_S)
 
 
-@query(f"WITH {_HIN}, h AS (SELECT b.dst AS mid, a.edge_type AS e1, a.dst_type AS t1, b.edge_type AS e2, b.dst_type AS t2, count(*) AS k FROM edges6 a JOIN edges6 b ON a.dst = b.src WHERE a.src_type = 3 AND b.dst_type <> a.dst_type AND b.dst_type <> 3 GROUP BY ALL), g AS (SELECT a.src AS mid, a.edge_type AS e3, a.dst_type AS t3, b.edge_type AS e4, count(*) AS k FROM edges6 a JOIN edges6 b ON a.dst = b.src WHERE b.dst_type = 3 GROUP BY ALL) SELECT e1, t1, e2, t2, e3, t3, e4, sum(h.k * g.k)::BIGINT AS cnt FROM h JOIN g ON h.mid = g.mid AND t1 = t3 GROUP BY ALL ORDER BY cnt DESC, e1, t1, e2, t2, e3, t3, e4 LIMIT 1001")
+@query(f"""WITH {_HIN},
+h AS (SELECT b.dst AS mid, a.edge_type AS e1, a.dst_type AS t1, b.edge_type AS e2, b.dst_type AS t2, count(*) AS k FROM edges6 a JOIN edges6
+  b ON a.dst = b.src WHERE a.src_type = 3 AND b.dst_type <> a.dst_type AND b.dst_type <> 3 GROUP BY ALL),
+g AS (SELECT a.src AS mid, a.edge_type AS e3, a.dst_type AS t3, b.edge_type AS e4, count(*) AS k FROM edges6 a JOIN edges6 b ON a.dst =
+  b.src WHERE b.dst_type = 3 GROUP BY ALL)
+SELECT e1, t1, e2, t2, e3, t3, e4, sum(h.k * g.k)::BIGINT AS cnt FROM h JOIN g ON h.mid = g.mid AND t1 = t3 GROUP BY ALL ORDER BY cnt DESC,
+  e1, t1, e2, t2, e3, t3, e4 LIMIT 1001""")
 def metapath_discovery_top(spark, d):
     """Most frequent meta-paths between suppliers."""
     return metapath.discover(N.network(spark, d), N.SUPPLIER)
 
 
-@query(f"WITH {_HIN}, half AS (SELECT src, dst, count(*) AS k FROM edges6 WHERE src_type = 3 AND dst_type = 1 GROUP BY src, dst), n AS (SELECT src, sum(k) AS n FROM half GROUP BY src) SELECT a.src AS a, b.src AS b, round(CASE WHEN a.src = b.src THEN 1.0 ELSE sum(a.k * b.k) / sqrt(x.n::DOUBLE * y.n) END, 9) AS s FROM half a JOIN half b ON a.dst = b.dst JOIN n x ON a.src = x.src JOIN n y ON b.src = y.src GROUP BY a.src, b.src, x.n, y.n")
+@query(f"""WITH {_HIN},
+half AS (SELECT src, dst, count(*) AS k FROM edges6 WHERE src_type = 3 AND dst_type = 1 GROUP BY src, dst),
+n AS (SELECT src, sum(k) AS n FROM half GROUP BY src)
+SELECT a.src AS a, b.src AS b, round(CASE WHEN a.src = b.src THEN 1.0 ELSE sum(a.k * b.k) / sqrt(x.n::DOUBLE * y.n) END, 9) AS s FROM half a
+  JOIN half b ON a.dst = b.dst JOIN n x ON a.src = x.src JOIN n y ON b.src = y.src GROUP BY a.src, b.src, x.n, y.n""")
 def hetesim_pairs(spark, d):
     """HeteSim of suppliers by order."""
     return metapath.hetesim(N.network(spark, d), S_O_S).select("a", "b", F.round("s", 9).alias("s"))
@@ -360,7 +416,9 @@ def hetesim_members(spark, d):
     return community.membership(materialize(edges, "similar"), 3)
 
 
-@query(f"WITH {_SOS}, deg AS (SELECT id, count(sos.w) AS degree FROM vertices LEFT JOIN sos ON sos.u = id AND sos.w <> id WHERE type = 3 GROUP BY id) SELECT degree, count(*) AS n FROM deg GROUP BY degree")
+@query(f"""WITH {_SOS},
+deg AS (SELECT id, count(sos.w) AS degree FROM vertices LEFT JOIN sos ON sos.u = id AND sos.w <> id WHERE type = 3 GROUP BY id)
+SELECT degree, count(*) AS n FROM deg GROUP BY degree""")
 def homo_degree_distribution(spark, d):
     """How many suppliers have each degree in the projection."""
     return metapath.degree_distribution(metapath.projected_degrees(N.network(spark, d), S_O_S))
@@ -378,7 +436,8 @@ _H2_PAIRS = """x2 AS (SELECT s.u, s.v, k.v AS nat FROM nbr s JOIN nbr k ON s.u =
 n2 AS (SELECT u, count(*) AS n FROM x2 GROUP BY u),
 c2 AS (SELECT a.u, b.u AS w, count(*) AS c FROM x2 a JOIN x2 b ON a.nat = b.nat AND a.v = b.v GROUP BY a.u, b.u),
 x AS (SELECT c2.u, c2.w, c::DOUBLE / (p.n + q.n - c) AS s FROM c2 JOIN n2 p ON c2.u = p.u JOIN n2 q ON c2.w = q.u)"""
-_LEVEL = "CASE WHEN s >= (floor(s * 100) + 1) / 100.0::DOUBLE THEN floor(s * 100) + 1 WHEN s < floor(s * 100) / 100.0::DOUBLE THEN floor(s * 100) - 1 ELSE floor(s * 100) END::INTEGER"
+_LEVEL = """CASE WHEN s >= (floor(s * 100) + 1) / 100.0::DOUBLE THEN floor(s * 100) + 1 WHEN s < floor(s * 100) / 100.0::DOUBLE THEN floor(s * 100) - 1
+  ELSE floor(s * 100) END::INTEGER"""
 
 
 @query(f"""WITH {_H2}, {_H2_PAIRS} SELECT u, w, 1.0::DOUBLE AS s1, round(s, 9) AS s2 FROM x
@@ -395,7 +454,11 @@ def index_edges(spark, d):
     return similarity.index_edges(_h2_vectors(spark, d), [1, 2], EPS)
 
 
-@query(f"WITH {_H2}, {_SIM}, x AS (SELECT a.u, a.w, a.s AS s1, b.s AS s2 FROM sim a JOIN sim b ON a.u = b.u AND a.w = b.w WHERE a.type = 1 AND b.type = 2) SELECT p.u, p.w, 1 + count(q.w) AS domin_rank FROM x p LEFT JOIN x q ON p.u = q.u AND p.w <> q.w AND q.s1 >= p.s1 AND q.s2 >= p.s2 GROUP BY p.u, p.w")
+@query(f"""WITH {_H2},
+{_SIM},
+x AS (SELECT a.u, a.w, a.s AS s1, b.s AS s2 FROM sim a JOIN sim b ON a.u = b.u AND a.w = b.w WHERE a.type = 1 AND b.type = 2)
+SELECT p.u, p.w, 1 + count(q.w) AS domin_rank FROM x p LEFT JOIN x q ON p.u = q.u AND p.w <> q.w AND q.s1 >= p.s1 AND q.s2 >= p.s2 GROUP BY
+  p.u, p.w""")
 def domin_rank(spark, d):
     """Dominance ranks of customers' neighbours."""
     return index.dominance_rank(_h2_vectors(spark, d)).select("u", "w", "domin_rank")
@@ -420,7 +483,10 @@ def kthres_2d(spark, d):
     return index.k_thresholds(_h2_vectors(spark, d), MU, 2).select("v", F.concat_ws(" ", F.col("thres").cast("array<string>")).alias("thres"))
 
 
-@query(f"WITH {_H2}, {_H2_PAIRS}, l AS (SELECT u, w, {_LEVEL} AS l FROM x WHERE u <> w) SELECT 1 AS k, u AS v, '100 100' AS thres FROM nbr WHERE type = 1 UNION ALL SELECT 2, u, '100 ' || max(l) FROM l GROUP BY u")
+@query(f"""WITH {_H2},
+{_H2_PAIRS},
+l AS (SELECT u, w, {_LEVEL} AS l FROM x WHERE u <> w)
+SELECT 1 AS k, u AS v, '100 100' AS thres FROM nbr WHERE type = 1 UNION ALL SELECT 2, u, '100 ' || max(l) FROM l GROUP BY u""")
 def kthres_small(spark, d):
     """The same for the 1-core and the 2-core."""
     vectors = _h2_vectors(spark, d)
@@ -429,7 +495,12 @@ def kthres_small(spark, d):
     return one.unionByName(two)
 
 
-@query(f"WITH RECURSIVE {_H2}, {_SIM}, {_EDGES}, alive(it, u) AS (SELECT DISTINCT 0, u FROM edges UNION ALL SELECT a.it + 1, e.u FROM edges e JOIN alive a ON e.u = a.u JOIN alive b ON e.w = b.u AND b.it = a.it WHERE a.it < 20 GROUP BY a.it, e.u HAVING count(*) >= 5) SELECT u AS v FROM alive WHERE it = 20")
+@query(f"""WITH RECURSIVE {_H2},
+{_SIM},
+{_EDGES},
+alive(it, u) AS (SELECT DISTINCT 0, u FROM edges UNION ALL SELECT a.it + 1, e.u FROM edges e JOIN alive a ON e.u = a.u JOIN alive b ON e.w =
+  b.u AND b.it = a.it WHERE a.it < 20 GROUP BY a.it, e.u HAVING count(*) >= 5)
+SELECT u AS v FROM alive WHERE it = 20""")
 def index_core_test(spark, d):
     """Customers whose thresholds reach the query's: those in its 5-core."""
     return index.index_cores(index.k_thresholds(_h2_vectors(spark, d), MU, 2), [0.3, 0.3])
@@ -473,8 +544,11 @@ def mutree_query(spark, d):
 _SPEC = "3\n2\n0 20\n-1\n3 0.3\n4 0.3\n"
 _SPEC_NBR = f"{_D2}, nbr AS (SELECT u, x.type, v FROM two JOIN vertices x ON v = x.id WHERE x.type IN (3, 4))"
 _SPEC_SCAN = f"WITH RECURSIVE {_SPEC_NBR}, {_SIM}, {_EDGES}, {_scan(3)}"
-_SPEC_QUERIES = "ql AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l, count(*) OVER () AS n FROM vertices WHERE type = 0), q AS (SELECT id FROM ql WHERE l >= 1 AND (l - 1) % (n // 20) = 0 AND l < 1 + 20 * (n // 20))"
-_SPEC_SEARCH = f"{_SPEC_SCAN}, {_SPEC_QUERIES} SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)"
+_SPEC_QUERIES = """ql AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l, count(*) OVER () AS n FROM vertices WHERE type = 0),
+q AS (SELECT id FROM ql WHERE l >= 1 AND (l - 1) % (n // 20) = 0 AND l < 1 + 20 * (n // 20))"""
+_SPEC_SEARCH = f"""{_SPEC_SCAN},
+{_SPEC_QUERIES}
+SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)"""
 _SPEC_DETECT = f"""{_SPEC_SCAN}, others AS (SELECT id AS v FROM vertices WHERE type = 0 AND id NOT IN (SELECT v FROM members)),
 near AS (SELECT a.u, a.w FROM sim a JOIN sim b ON a.u = b.u AND a.w = b.w WHERE a.type = 3 AND b.type = 4),
 hubs AS (SELECT o.v FROM others o JOIN near x ON x.u = o.v JOIN members m ON m.v = x.w GROUP BY o.v HAVING count(DISTINCT m.cid) > 1)
@@ -517,7 +591,8 @@ def detect_by_index(spark, d):
     return api.community_detect(hin, _spec(hin), _stored(spark, hin, _spec(hin), subsets=True))
 
 
-_HALF = "first_half AS (SELECT id AS u FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l, count(*) OVER () AS n FROM vertices WHERE type = 0) WHERE l < n * 50 // 100)"
+_HALF = """first_half AS (SELECT id AS u FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l, count(*) OVER () AS n FROM vertices WHERE type = 0)
+  WHERE l < n * 50 // 100)"""
 
 
 @query(
@@ -532,7 +607,12 @@ def kcore_search_scaled(spark, d):
     return api.kcore_search(hin, _spec(hin), scale=50)
 
 
-@query(f"{_SPEC_SCAN}, {_SPEC_QUERIES}, f AS (SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)), r AS (SELECT q, count(*) AS size, count_if(role = 'c') AS cores FROM f GROUP BY q) SELECT (SELECT count(*) FROM q) AS queries, count(*) AS answered, round(avg(size), 9) AS mean_size, round(avg(cores), 9) AS mean_cores FROM r")
+@query(f"""{_SPEC_SCAN},
+{_SPEC_QUERIES},
+f AS (SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)),
+r AS (SELECT q, count(*) AS size, count_if(role = 'c') AS cores FROM f GROUP BY q)
+SELECT (SELECT count(*) FROM q) AS queries, count(*) AS answered, round(avg(size), 9) AS mean_size, round(avg(cores), 9) AS mean_cores FROM
+  r""")
 def batch_report(spark, d):
     """Averages over the answers of twenty customers."""
     hin = N.network(spark, d)
@@ -541,14 +621,20 @@ def batch_report(spark, d):
     return got.select("queries", "answered", F.round("mean_size", 9).alias("mean_size"), F.round("mean_cores", 9).alias("mean_cores"))
 
 
-@query(f"{_SPEC_SCAN}, {_SPEC_QUERIES} SELECT c.v AS q, count(*) AS size, count_if(m.role = 'c') AS cores, count_if(m.role = 'n') AS noncores FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q) GROUP BY c.v")
+@query(f"""{_SPEC_SCAN},
+{_SPEC_QUERIES}
+SELECT c.v AS q, count(*) AS size, count_if(m.role = 'c') AS cores, count_if(m.role = 'n') AS noncores FROM members c JOIN members m ON
+  c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q) GROUP BY c.v""")
 def search_report(spark, d):
     """Sizes of those answers."""
     hin = N.network(spark, d)
     return api.search_report(api.community_search(hin, _spec(hin)))
 
 
-@query(f"WITH {_H3}, {_SIM}, p AS (SELECT u, w, s, c / sqrt(na::DOUBLE * nb) AS k, type FROM sim WHERE u < w) SELECT u, w, round(sum(s) / 2, 9) AS avg_jaccard, round(sum(k) / 2, 9) AS avg_cosine FROM p GROUP BY u, w")
+@query(f"""WITH {_H3},
+{_SIM},
+p AS (SELECT u, w, s, c / sqrt(na::DOUBLE * nb) AS k, type FROM sim WHERE u < w)
+SELECT u, w, round(sum(s) / 2, 9) AS avg_jaccard, round(sum(k) / 2, 9) AS avg_cosine FROM p GROUP BY u, w""")
 def avg_jac_cos(spark, d):
     """Mean similarities of parts over brand and words, of pairs that share any."""
     nbr = N.part_words(spark, d)
@@ -559,7 +645,13 @@ def avg_jac_cos(spark, d):
     return parts[0].join(parts[1], ["u", "w"])
 
 
-@query(f"WITH RECURSIVE {_H2}, {_SIM}, {_EDGES}, {_scan(3)}, m AS (SELECT u, w, sum(s) / 2 AS s FROM sim GROUP BY u, w) SELECT a.cid, count(*) AS core_edges, round(avg(m.s), 9) AS mean_similarity FROM edges e JOIN clusters a ON a.u = e.u JOIN clusters b ON b.u = e.w AND b.cid = a.cid JOIN m ON m.u = e.u AND m.w = e.w WHERE e.u <> e.w GROUP BY a.cid")
+@query(f"""WITH RECURSIVE {_H2},
+{_SIM},
+{_EDGES},
+{_scan(3)},
+m AS (SELECT u, w, sum(s) / 2 AS s FROM sim GROUP BY u, w)
+SELECT a.cid, count(*) AS core_edges, round(avg(m.s), 9) AS mean_similarity FROM edges e JOIN clusters a ON a.u = e.u JOIN clusters b ON b.u
+  = e.w AND b.cid = a.cid JOIN m ON m.u = e.u AND m.w = e.w WHERE e.u <> e.w GROUP BY a.cid""")
 def core_similarity(spark, d):
     """Similar pairs among the cores of each community of customers, and their mean similarity."""
     vectors = _h2_vectors(spark, d)
@@ -568,7 +660,13 @@ def core_similarity(spark, d):
     return got.select("cid", "core_edges", F.round("mean_similarity", 9).alias("mean_similarity"))
 
 
-@query(f"WITH RECURSIVE {_SOS}, {_PS}, edges AS (SELECT u, w FROM ps WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND s1 >= 0.3 AND s2 >= 0.005), {_scan(3)}, mm AS (SELECT DISTINCT v, cid FROM members) SELECT a.cid, round(sum(CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(ps.s, 0) END) / count(*), 9) AS avg_pathsim FROM mm a JOIN mm b ON a.cid = b.cid LEFT JOIN ps ON ps.u = a.v AND ps.w = b.v GROUP BY a.cid")
+@query(f"""WITH RECURSIVE {_SOS},
+{_PS},
+edges AS (SELECT u, w FROM ps WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND s1 >= 0.3 AND s2 >= 0.005),
+{_scan(3)},
+mm AS (SELECT DISTINCT v, cid FROM members)
+SELECT a.cid, round(sum(CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(ps.s, 0) END) / count(*), 9) AS avg_pathsim FROM mm a JOIN mm b ON a.cid
+  = b.cid LEFT JOIN ps ON ps.u = a.v AND ps.w = b.v GROUP BY a.cid""")
 def community_pathsim(spark, d):
     """Mean PathSim inside communities of suppliers."""
     hin = N.network(spark, d)
@@ -579,33 +677,64 @@ def community_pathsim(spark, d):
 # -- metrics ------------------------------------------------------------------------------
 
 
-@query(f"{_H1_SCAN}, z AS (SELECT cid, count(DISTINCT v) AS size, count(DISTINCT CASE WHEN role = 'c' THEN v END) AS core_num FROM members GROUP BY cid), e AS (SELECT a.cid, count(*) AS edge_num FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid GROUP BY a.cid) SELECT z.cid, size, core_num, edge_num, round(edge_num::DOUBLE / size, 9) AS density FROM z JOIN e ON z.cid = e.cid")
+@query(f"""{_H1_SCAN},
+z AS (SELECT cid, count(DISTINCT v) AS size, count(DISTINCT CASE WHEN role = 'c' THEN v END) AS core_num FROM members GROUP BY cid),
+e AS (SELECT a.cid, count(*) AS edge_num FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid GROUP BY a.cid)
+SELECT z.cid, size, core_num, edge_num, round(edge_num::DOUBLE / size, 9) AS density FROM z JOIN e ON z.cid = e.cid""")
 def community_density(spark, d):
     """Size and density of communities of parts."""
     return metrics.density(edges := _h1_edges(spark, d), _h1_members(spark, d, edges)).withColumn("density", F.round("density", 9))
 
 
-@query(f"{_H1_SCAN}, e AS (SELECT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid), deg AS (SELECT cid, u, count(*) AS n FROM e GROUP BY cid, u), t AS (SELECT x.cid, x.u, count(*) AS t FROM e x JOIN e y ON x.cid = y.cid AND x.u = y.u AND x.w < y.w JOIN e z ON z.cid = x.cid AND z.u = x.w AND z.w = y.w GROUP BY x.cid, x.u), l AS (SELECT deg.cid, CASE WHEN n < 2 THEN 0 ELSE 2.0::DOUBLE * coalesce(t, 0) / (n * (n - 1)) END AS c FROM deg LEFT JOIN t ON deg.cid = t.cid AND deg.u = t.u), z AS (SELECT cid, count(DISTINCT v) AS size FROM members GROUP BY cid) SELECT z.cid, round(sum(c) / any_value(size), 9) AS cc FROM z JOIN l ON z.cid = l.cid GROUP BY z.cid")
+@query(f"""{_H1_SCAN},
+e AS (SELECT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid),
+deg AS (SELECT cid, u, count(*) AS n FROM e GROUP BY cid, u),
+t AS (SELECT x.cid, x.u, count(*) AS t FROM e x JOIN e y ON x.cid = y.cid AND x.u = y.u AND x.w < y.w JOIN e z ON z.cid = x.cid AND z.u =
+  x.w AND z.w = y.w GROUP BY x.cid, x.u),
+l AS (SELECT deg.cid, CASE WHEN n < 2 THEN 0 ELSE 2.0::DOUBLE * coalesce(t, 0) / (n * (n - 1)) END AS c FROM deg LEFT JOIN t ON deg.cid =
+  t.cid AND deg.u = t.u),
+z AS (SELECT cid, count(DISTINCT v) AS size FROM members GROUP BY cid)
+SELECT z.cid, round(sum(c) / any_value(size), 9) AS cc FROM z JOIN l ON z.cid = l.cid GROUP BY z.cid""")
 def community_cc(spark, d):
     """Clustering coefficients of communities of parts."""
     return metrics.clustering(edges := _h1_edges(spark, d), _h1_members(spark, d, edges)).select("cid", F.round("cc", 9).alias("cc"))
 
 
-@query(f"{_H1_SCAN}, e AS (SELECT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid WHERE u <> w), s AS (SELECT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r FROM members), bfs AS (SELECT cid, v AS s, v AS u, 0 AS d FROM s WHERE r <= 10 UNION SELECT b.cid, b.s, e.w, b.d + 1 FROM bfs b JOIN e ON b.cid = e.cid AND b.u = e.u WHERE b.d < 16) SELECT cid, max(d) AS diameter FROM (SELECT cid, s, u, min(d) AS d FROM bfs GROUP BY cid, s, u) GROUP BY cid")
+@query(f"""{_H1_SCAN},
+e AS (SELECT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid WHERE u <> w),
+s AS (SELECT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r FROM members),
+bfs AS (SELECT cid, v AS s, v AS u, 0 AS d FROM s WHERE r <= 10 UNION SELECT b.cid, b.s, e.w, b.d + 1 FROM bfs b JOIN e ON b.cid = e.cid AND
+  b.u = e.u WHERE b.d < 16)
+SELECT cid, max(d) AS diameter FROM (SELECT cid, s, u, min(d) AS d FROM bfs GROUP BY cid, s, u) GROUP BY cid""")
 def community_diameter(spark, d):
     """Lower bounds of the diameters of communities of parts, from ten starts."""
     return metrics.diameter(edges := _h1_edges(spark, d), _h1_members(spark, d, edges))
 
 
-@query(f"{_H1_SCAN}, m AS (SELECT DISTINCT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r, count(*) OVER (PARTITION BY cid) AS n FROM (SELECT DISTINCT cid, v FROM members)), p AS (SELECT a.cid, a.v AS a, b.v AS b, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.s), 0) END AS j, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.c / sqrt(s.na::DOUBLE * s.nb)), 0) END AS k FROM m a JOIN m b ON a.cid = b.cid LEFT JOIN sim s ON s.u = a.v AND s.w = b.v WHERE a.r <= 100 GROUP BY a.cid, a.v, b.v) SELECT cid, round(avg(j), 9) AS avg_jaccard, round(avg(k), 9) AS avg_cosine FROM p GROUP BY cid")
+@query(f"""{_H1_SCAN},
+m AS (SELECT DISTINCT cid, v, row_number() OVER (PARTITION BY cid ORDER BY v) AS r, count(*) OVER (PARTITION BY cid) AS n FROM (SELECT
+  DISTINCT cid, v FROM members)),
+p AS (SELECT a.cid, a.v AS a, b.v AS b, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.s), 0) END AS j, CASE WHEN a.v = b.v THEN 1.0 ELSE
+  coalesce(avg(s.c / sqrt(s.na::DOUBLE * s.nb)), 0) END AS k FROM m a JOIN m b ON a.cid = b.cid LEFT JOIN sim s ON s.u = a.v AND s.w = b.v
+  WHERE a.r <= 100 GROUP BY a.cid, a.v, b.v)
+SELECT cid, round(avg(j), 9) AS avg_jaccard, round(avg(k), 9) AS avg_cosine FROM p GROUP BY cid""")
 def community_pair_sim(spark, d):
     """Mean similarity of the 100 least members and all members, inside communities of parts."""
     got = metrics.pair_similarity(N.part_supply(spark, d), _h1_members(spark, d), [1, 2])
     return got.select("cid", F.round("avg_jaccard", 9).alias("avg_jaccard"), F.round("avg_cosine", 9).alias("avg_cosine"))
 
 
-_TRUTH = "truth AS (SELECT p_partkey AS id, CASE WHEN p_size <= 5 THEN 'o' ELSE p_type END AS cluster_id FROM part), pred AS (SELECT v AS id, CASE WHEN cid < 0 THEN 'o' ELSE CAST(cid AS VARCHAR) END AS cluster_id FROM output)"
-_F1 = "np AS (SELECT cluster_id, count(DISTINCT id) AS n FROM pred GROUP BY cluster_id), nt AS (SELECT cluster_id, count(*) AS n FROM truth GROUP BY cluster_id), f AS (SELECT p.cluster_id, t.cluster_id AS true_id, count(DISTINCT p.id)::DOUBLE AS c FROM pred p JOIN truth t ON p.id = t.id GROUP BY p.cluster_id, t.cluster_id), g AS (SELECT f.cluster_id, true_id, 2 * (c / np.n) * (c / nt.n) / (c / np.n + c / nt.n) AS f1 FROM f JOIN np ON f.cluster_id = np.cluster_id JOIN nt ON f.true_id = nt.cluster_id), best AS (SELECT np.cluster_id, coalesce(max(f1), 0) AS f1 FROM np LEFT JOIN g ON np.cluster_id = g.cluster_id AND true_id <> 'o' WHERE np.cluster_id <> 'o' GROUP BY np.cluster_id), out_f1 AS (SELECT coalesce(max(f1), 0) AS f1 FROM g WHERE cluster_id = 'o' AND true_id = 'o')"
+_TRUTH = """truth AS (SELECT p_partkey AS id, CASE WHEN p_size <= 5 THEN 'o' ELSE p_type END AS cluster_id FROM part),
+pred AS (SELECT v AS id, CASE WHEN cid < 0 THEN 'o' ELSE CAST(cid AS VARCHAR) END AS cluster_id FROM output)"""
+_F1 = """np AS (SELECT cluster_id, count(DISTINCT id) AS n FROM pred GROUP BY cluster_id),
+nt AS (SELECT cluster_id, count(*) AS n FROM truth GROUP BY cluster_id),
+f AS (SELECT p.cluster_id, t.cluster_id AS true_id, count(DISTINCT p.id)::DOUBLE AS c FROM pred p JOIN truth t ON p.id = t.id GROUP BY
+  p.cluster_id, t.cluster_id),
+g AS (SELECT f.cluster_id, true_id, 2 * (c / np.n) * (c / nt.n) / (c / np.n + c / nt.n) AS f1 FROM f JOIN np ON f.cluster_id = np.cluster_id
+  JOIN nt ON f.true_id = nt.cluster_id),
+best AS (SELECT np.cluster_id, coalesce(max(f1), 0) AS f1 FROM np LEFT JOIN g ON np.cluster_id = g.cluster_id AND true_id <> 'o' WHERE
+  np.cluster_id <> 'o' GROUP BY np.cluster_id),
+out_f1 AS (SELECT coalesce(max(f1), 0) AS f1 FROM g WHERE cluster_id = 'o' AND true_id = 'o')"""
 
 
 def _truth(spark, d) -> DataFrame:
@@ -633,13 +762,16 @@ def f1_mean(spark, d):
 # -- labels -----------------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey, o_orderpriority, share FROM (SELECT o_custkey, o_orderpriority, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY o_custkey), 2) AS share, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey, o_orderpriority) WHERE r = 1")
+@query("""SELECT o_custkey, o_orderpriority, share FROM (SELECT o_custkey, o_orderpriority, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY
+  o_custkey), 2) AS share, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY
+  o_custkey, o_orderpriority) WHERE r = 1""")
 def label_mode_share(spark, d):
     """Most frequent priority of each customer's orders, and its share."""
     return labels.mode_share(N.table(spark, d, "orders"), "o_custkey", "o_orderpriority")
 
 
-_AUTHORS = "a AS (SELECT c_custkey AS id, count(o_orderkey) AS degree, CAST(c_nationkey AS INTEGER) AS hindex FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey)"
+_AUTHORS = """a AS (SELECT c_custkey AS id, count(o_orderkey) AS degree, CAST(c_nationkey AS INTEGER) AS hindex FROM customer LEFT JOIN orders ON
+  o_custkey = c_custkey GROUP BY c_custkey, c_nationkey)"""
 
 
 def _authors(spark, d) -> DataFrame:
@@ -647,7 +779,12 @@ def _authors(spark, d) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("hindex")).agg(F.count("o_orderkey").alias("degree")).select("id", "degree", "hindex")
 
 
-@query("WITH m AS (SELECT o_custkey AS id, o_orderpriority AS label, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY o_custkey), 2) AS share, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey, o_orderpriority), g AS (SELECT o_custkey AS id, count(*) AS degree FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey) SELECT id, CAST(c_nationkey AS INTEGER) AS hindex, label, share, coalesce(degree, 0) AS degree FROM customer JOIN m ON m.id = c_custkey LEFT JOIN g USING (id) WHERE r = 1")
+@query("""WITH m AS (SELECT o_custkey AS id, o_orderpriority AS label, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY o_custkey), 2) AS
+  share, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey,
+  o_orderpriority),
+g AS (SELECT o_custkey AS id, count(*) AS degree FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey)
+SELECT id, CAST(c_nationkey AS INTEGER) AS hindex, label, share, coalesce(degree, 0) AS degree FROM customer JOIN m ON m.id = c_custkey LEFT
+  JOIN g USING (id) WHERE r = 1""")
 def label_authors(spark, d):
     """Modal priority of each customer beside its nation and its number of large orders."""
     o = N.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("label"), "o_totalprice")
@@ -662,20 +799,24 @@ def label_outlier_rule(spark, d):
     return labels.outlier_labels(_authors(spark, d), share=1.0)
 
 
-@query(f"WITH {_AUTHORS} SELECT count_if(degree <= 2) AS low_degree, count_if(hindex <= 2) AS low_hindex, count_if(hindex <= 2 AND degree > 2) AS only_hindex FROM a")
+@query(f"""WITH {_AUTHORS}
+SELECT count_if(degree <= 2) AS low_degree, count_if(hindex <= 2) AS low_hindex, count_if(hindex <= 2 AND degree > 2) AS only_hindex FROM a""")
 def label_condition_counts(spark, d):
     """Rows under the label conditions."""
     return labels.condition_counts(_authors(spark, d))
 
 
-@query("SELECT p_brand, string_agg(w, ' ' ORDER BY w) AS topics FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_brand")
+@query("""SELECT p_brand, string_agg(w, ' ' ORDER BY w) AS topics FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)
+  GROUP BY p_brand""")
 def topic_merge(spark, d):
     """Words of each brand's part names."""
     p = N.table(spark, d, "part").select("p_brand", F.split("p_name", " ").alias("topics"))
     return labels.merge_topics(p, "p_brand", "topics").select("p_brand", F.concat_ws(" ", "topics").alias("topics"))
 
 
-@query("SELECT a, string_agg(v, ' ' ORDER BY v) AS venues, string_agg(DISTINCT t, ' ' ORDER BY t) AS topics FROM (SELECT o_custkey AS a, CAST(l_suppkey AS VARCHAR) AS v, p_brand AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey) GROUP BY a")
+@query("""SELECT a, string_agg(v, ' ' ORDER BY v) AS venues, string_agg(DISTINCT t, ' ' ORDER BY t) AS topics FROM (SELECT o_custkey AS a,
+  CAST(l_suppkey AS VARCHAR) AS v, p_brand AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)
+  GROUP BY a""")
 def two_hop_bags(spark, d):
     """Suppliers of each customer's orders, repeats kept, and the brands in them, each once."""
     first = N.table(spark, d, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
