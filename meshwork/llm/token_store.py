@@ -46,7 +46,7 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2_000, 4_096, 64 << 10
 #: Characters of a bucket, payload after which a shard row is closed, bytes of a Parquet row group of shards.
 BUCKET_CHARS, SHARD_BYTES, GROUP_BYTES = 4 << 20, 1 << 20, 8 << 20
 
-#: Bytes of remembered segments after which a worker starts anew, besides OWN of each, and segments that go to the library as one text.
+#: Bytes of remembered segments after which a worker forgets all but the latest, besides OWN of each, and segments that go to the library as one text.
 MEMORY, OWN, JOINT = 64 << 20, 220, 200
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u4"), ("n_tokens", "<u4")])
@@ -106,12 +106,12 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cut = [self._cut(t) for t in texts]
-        if self.held > MEMORY:
-            self.known.clear()
-            self.held = 0
         every = set()
         for c in cut:
             every.update(c or ())
+        if self.held > MEMORY:  # what these texts have is likely to come again
+            self.known = {s: self.known[s] for s in every.intersection(self.known)}
+            self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + OWN * len(self.known)
         self._learn(list(every.difference(self.known)))
         return [b"".join(map(self.known.__getitem__, c)) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut, strict=True)]
 

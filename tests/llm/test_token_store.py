@@ -50,3 +50,13 @@ def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "a b")] * 5, "doc_id long, text string")
     assert sorted(r.start for r in round_trip(df, PATH).collect()) == [0, 3, 6, 9, 12]
     assert round_trip(df.limit(0), PATH).collect() == []
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMORY", 4_000)
+    ours = SegmentEncoder(PATH)
+    texts = [" ".join(f"word{i * k % 61}" for i in range(40)) for k in range(1, 60)]
+    for i in range(0, len(texts), 3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts[i : i + 3])] == [LIB.encode(t, add_special_tokens=False).ids for t in texts[i : i + 3]]
+        assert ours.held >= sum(map(len, ours.known))
+    assert len(ours.known) < 100
