@@ -12,7 +12,7 @@ Texts with the same set of shingles are one node, however many documents carry i
    128 lowest bits of the minima (13 expected at 0.8, deviation 3.4), are let go.
 3. Links only matter between components. In each round a node is compared with one
    member of the largest component of each of its keys, PICKS at most, the likest
-   first; this goes on while a tenth of them are links, and joins a family of near
+   first; this goes on while a quarter of them are links, and joins a family of near
    copies without ever forming its pairs. At last all pairs of a key that are still in
    different components and weren't compared are, so no link is lost.
 
@@ -43,7 +43,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, APART = 32, 4, 32
 
 #: Comparisons of a node in a round, share of links that makes another round worth it.
-PICKS, WORTH = 3, 0.1
+PICKS, WORTH = 3, 0.25
 
 #: Nodes compared with another in one task; ids (a long each) that may be broadcast.
 MEMBERS, IDS = 2_000, 1_000_000

@@ -18,7 +18,7 @@ STEP_CHARS = 500_000
 STEP_ROWS = 250
 
 #: Rows and bytes of a batch between Spark and its Python workers, at most: texts are long, and batches lie outside the heap.
-ROWS, BATCH_BYTES = 1_000, 8 << 20
+ROWS, BATCH_BYTES = 250, 1 << 20
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
