@@ -4,7 +4,7 @@ Pairs come from self-joins on shared neighbours, most selective type first; othe
 types are verified on the survivors. A threshold reaches into the join: a set is
 entered under its rarest neighbours only, as many as it must have one of in common
 with any set alike enough (prefix filter), sets whose sizes exclude the threshold
-don't meet, and a pair is counted where it meets first, so nothing is deduplicated.
+don't meet, and a pair is tested where it meets, so only what passes is deduplicated.
 Vertices with more than LISTED neighbours of the type are joined row by row instead. A type in which every vertex has one
 neighbour at most is no join of its own: similarity there is 0 or 1, so its
 neighbour becomes a further equality key of the candidate join. Pairs of two empty
@@ -27,8 +27,8 @@ from ..sources.hin import dense_index
 
 Test = Callable[[int, Column, Column, Column], Column]
 
-#: Neighbours of a vertex that travel with it as an array.
-LISTED = 1_000
+#: Neighbours of a vertex that travel with it; longs of 64 bits that they may fill, one bit for each vertex of the type.
+LISTED, WORDS = 1_000, 32
 
 #: Least common members over own size, and least smaller over larger size, of sets whose similarity is t.
 BOUNDS: dict[str, Callable[[float], tuple[float, float]]] = {"jaccard": lambda t: (t, t), "cosine": lambda t: (t * t, t * t), "overlap": lambda t: (0.0, 0.0)}
@@ -45,13 +45,28 @@ def _sizes(nbr: DataFrame, kind: int, name: str) -> DataFrame:
     return nbr.where(F.col("type") == kind).groupBy("u").agg(F.count("*").alias(name))
 
 
-def _listed(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """u, keys, n, vs (ranks of the neighbours, rarest first) and v, one of the ranks a set is entered under, of rows (u, v, keys)."""
+def _entered(rows: DataFrame, keys: list[str], share: float) -> tuple[DataFrame, int]:
+    """(entries, words) of rows (u, v, keys): u, keys, n, v, one of the ranks a set is entered under, and its members.
+
+    Members are ranks of neighbours, rarest first: the bits of ``words`` longs m0, m1
+    ... where there are few ranks, else (words is 0) an array vs.
+    """
     ranks = dense_index(rows.groupBy("v").agg(F.count("*").alias("_c")), ["_c", "v"], "rank").select("v", "rank")
-    sets = rows.join(ranks, "v").groupBy("u", *keys).agg(F.array_sort(F.collect_list("rank")).alias("vs")).withColumn("n", F.size("vs"))
+    words = -(-ranks.count() // 64)
+    words = words if words <= WORDS else 0
+    bits = [F.bit_or(F.when(F.shiftright("rank", 6) == i, F.expr("shiftleft(1L, cast(rank % 64 as int))")).otherwise(F.lit(0))).alias(f"m{i}") for i in range(words)]
+    sets = rows.join(ranks, "v").groupBy("u", *keys).agg(F.array_sort(F.collect_list("rank")).alias("vs"), *bits).withColumn("n", F.size("vs"))
     sets = materialize(sets, "sets")
     need = F.greatest(F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)), F.lit(1)).cast("int")
-    return sets.withColumn("v", F.explode(F.slice("vs", 1, F.col("n") - need + 1)))
+    entries = sets.withColumn("v", F.explode(F.slice("vs", 1, F.col("n") - need + 1)))
+    return (entries.drop("vs") if words else entries), words
+
+
+def _common(words: int) -> Column:
+    """Common members of a set and of the other one, whose columns begin with r_."""
+    if not words:
+        return F.explode(F.array(F.size(F.array_intersect("vs", "r_vs"))))  # generated, so it is computed once
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"r_m{i}"))) for i in range(words)])
 
 
 def conjunctive_pairs(left: DataFrame, right: DataFrame, types: list[int], test: Test, symmetric: bool, bounds: Callable[[int], tuple[float, float]] = lambda t: (0.0, 0.0)) -> DataFrame:
@@ -90,12 +105,12 @@ def conjunctive_pairs(left: DataFrame, right: DataFrame, types: list[int], test:
         ka, kb = (x.where(F.col("type") == kind).select("u", "v") for x in (left, right))
         if symmetric and costs.get(kind, (0, 0))[0] <= LISTED:
             share, ratio = bounds(kind)
-            entries = _listed(a.join(ka, "u"), keys, share)
+            entries, words = _entered(a.join(ka, "u"), keys, share)
             x, y = entries, entries.select(*[F.col(c).alias(f"r_{c}") for c in entries.columns])
             same = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
             on = reduce(lambda p, q: p & q, [F.col("v") == F.col("r_v"), *same, F.col("u") < F.col("r_u"), F.least("n", "r_n") >= F.greatest("n", "r_n") * F.lit(ratio - 1e-9)])
-            common = x.join(y, on).select("u", F.col("r_u").alias("w"), "v", "n", "r_n", F.array_intersect("vs", "r_vs").alias("common"))
-            pairs = common.where((F.get("common", 0) == F.col("v")) & test(kind, F.size("common"), F.col("n"), F.col("r_n"))).select("u", "w")
+            met = x.join(y, on).select("u", F.col("r_u").alias("w"), "n", "r_n", _common(words).alias("c"))
+            pairs = met.where(test(kind, F.col("c"), F.col("n"), F.col("r_n"))).select("u", "w").distinct()
             return finished(pairs, a, b, ka, kb, more)
         met = near(a.join(ka, "u"), b.join(kb, "u"), ["v"]).groupBy("u", F.col("r_u").alias("w")).agg(F.count("*").alias("c"))
         sized = met.join(_sizes(left, kind, "na"), "u").join(_sizes(right, kind, "nb").withColumnRenamed("u", "w"), "w")

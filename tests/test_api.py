@@ -138,6 +138,8 @@ def test_prefix_filter_and_long_lists_give_the_same_pairs(spark, monkeypatch):
     nbr = spark.createDataFrame(rows, "u long, type int, v string")
     for measure in ("jaccard", "cosine", "overlap"):
         listed = pairs(similarity.similar_edges(nbr, {1: 0.5, 2: 0.4}, measure))
+        monkeypatch.setattr(similarity, "WORDS", 0)
+        assert pairs(similarity.similar_edges(nbr, {1: 0.5, 2: 0.4}, measure)) == listed
         monkeypatch.setattr(similarity, "LISTED", 0)
         assert pairs(similarity.similar_edges(nbr, {1: 0.5, 2: 0.4}, measure)) == listed
         monkeypatch.undo()
