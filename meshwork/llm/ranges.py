@@ -36,4 +36,5 @@ def run_of(key: Column, cuts: np.ndarray) -> Column:
     heads = F.from_json(F.lit(str([b[-1] for b in blocks])), "array<bigint>")  # a block below the key counts whole
     whole = F.size(F.filter(heads, lambda c: c < key))
     fine = F.from_json(F.lit(str(blocks)), "array<array<bigint>>")
-    return whole * block + F.coalesce(F.size(F.filter(F.get(fine, whole), lambda c: c < key)), F.lit(0))
+    inside = F.coalesce(F.array_size(F.filter(F.get(fine, whole), lambda c: c < key)), F.lit(0))
+    return F.least(whole * block, F.lit(len(cuts))) + inside
