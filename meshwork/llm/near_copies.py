@@ -12,7 +12,8 @@ Texts with the same set of shingles are one node, however many documents carry i
    128 lowest bits of the minima (13 expected at 0.8, deviation 3.4), are let go.
 3. Links only matter between components. In each round a node is compared with one
    member of the largest component of each of its keys, PICKS at most, the likest
-   first; this goes on while a quarter of them are links, and joins a family of near
+   first. In the first round that is the member that meets most others, which in a
+   family of copies is what they were copied from; afterwards a random one. This goes on while a quarter of them are links, and joins a family of near
    copies without ever forming its pairs. At last all pairs of a key that are still in
    different components and weren't compared are, so no link is lost.
 
@@ -186,21 +187,26 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     state.compare(groups)
 
     keys = own.select(F.col("doc_id").alias("node"), "n", "low0", "low1", F.explode("bands").alias("band"))
-    crowded = keys.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    crowded = keys.groupBy("band").agg(F.count("*").alias("met")).where("met > 1")
     shared = materialize(keys.join(crowded, "band"), "shared", files)
+    degrees = materialize(shared.groupBy("node").agg(F.sum("met").alias("degree")), "degrees", files_for(rows, NUMBER_ROWS))
     bits = F.bit_count(F.col("low0").bitwiseXOR(F.col("r_low0"))) + F.bit_count(F.col("low1").bitwiseXOR(F.col("r_low1")))
     possible = (F.least("n", "r_n") / F.greatest("n", "r_n") >= similarity) & (bits <= APART)
 
     def mixed() -> DataFrame:
         """Nodes by key, with their components, where a key has several."""
-        now = shared.join(state.named, "node")
+        now = shared.drop("met").join(state.named, "node").join(degrees, "node")
         several = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
         return materialize(now.join(several, "band"), "mixed", files)
 
+    def first(turn: int):
+        """The least is the hub of its component in a key."""
+        return F.struct(-F.col("degree"), F.col("node")) if turn == 1 else F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"))
+
     turn, share = 0, 1.0
     while share >= WORTH:
         now, turn = mixed(), turn + 1
-        sizes = now.groupBy("band", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n", "low0", "low1"), F.xxhash64("node", "band", F.lit(turn))).alias("x"))
+        sizes = now.groupBy("band", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n", "low0", "low1"), first(turn)).alias("x"))
         hubs = sizes.groupBy("band").agg(F.max_by(F.struct("component", "x"), F.struct("c", -F.col("component"))).alias("hub"))
         hubs = hubs.select("band", F.col("hub.component").alias("r_component"), F.col("hub.x.node").alias("a"), *[F.col(f"hub.x.{c}").alias(f"r_{c}") for c in ("n", "low0", "low1")])
         met = now.join(hubs, "band").where((F.col("component") != F.col("r_component")) & possible).select("a", F.col("node").alias("b"), bits.alias("bits")).distinct()

@@ -159,6 +159,7 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, bucket_
     rows, cuts = range_cuts(docs, "doc_id", bucket_chars)
     end = np.array([end_id], "<u4").tobytes()
     width = 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+    encoder.cache_clear()  # the driver doesn't encode
     narrow = (lambda raw: np.frombuffer(raw, "<u4").astype("<u2").tobytes()) if width == 2 else (lambda raw: raw)
 
     def sample():
