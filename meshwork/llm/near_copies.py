@@ -13,9 +13,10 @@ Texts with the same set of shingles are one node, however many documents carry i
 3. Links only matter between components. In each round a node is compared with one
    member of the largest component of each of its keys, PICKS at most, the likest
    first. In the first round that is the member that meets most others, which in a
-   family of copies is what they were copied from; afterwards a random one. This goes on while a quarter of them are links, and joins a family of near
-   copies without ever forming its pairs. At last all pairs of a key that are still in
-   different components and weren't compared are, so no link is lost.
+   family of copies is what they were copied from; afterwards a random one. This goes
+   on while a quarter of them are links, and joins a family of near copies without
+   ever forming its pairs. At last all pairs of a key that are still in different
+   components and weren't compared are, so no link is lost.
 
 A comparison reads both whole sets. A node's set travels once to each node that it
 is compared with; those compared with many are split over several tasks.
