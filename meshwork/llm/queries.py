@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, mixing, quality, scoring, secrets, simhash, token_counts, token_store
+from . import byte_bpe, chat, decontamination, fingerprints, mixing, quality, scoring, secrets, simhash, token_counts, token_store
 
 #: Folder of the public tokenizer files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -76,9 +76,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level token ids of every document, encoded and decoded."""
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this package."""
-    made = [op1_mixing, op2_decontamination, op3_simhash, op4_secrets, op5_scoring, op6_token_counts, op7_quality, op8_fingerprints, op9_token_store, op10_chat]
+    made = [op1_mixing, op2_decontamination, op3_simhash, op4_secrets, op5_scoring, op6_token_counts, op7_quality, op8_fingerprints, op9_token_store, op10_chat, op13_byte_bpe]
     return {f.__name__: f for f in made}
 
 
