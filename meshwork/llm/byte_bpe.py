@@ -16,7 +16,6 @@ is found once and remembered, as are the ids of short pre-tokens.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .text import STEP_ROWS, map_texts, small_batches
 
-#: Pre-tokens and pairs that a worker remembers before it starts anew; pre-tokens over SHORT characters are not remembered.
-MEMORY, SHORT = 300_000, 64
+#: Pre-tokens that a worker remembers at most, twice, and a quarter of the pairs; pre-tokens over SHORT characters are not remembered.
+MEMORY, SHORT = 200_000, 64
 
 #: Ids that one step of decoding holds at most, besides a single longer row.
 STEP_IDS = 500_000
@@ -45,19 +44,22 @@ class BacktrackEncoder:
             self.rank = {base64.b64decode(t).decode("latin-1"): int(r) for t, r in map(bytes.split, f)}
         self.bytes_of = {r: t.encode("latin-1") for t, r in self.rank.items()}
         self.token_of = {r: t for t, r in self.rank.items()}
-        self.size = {r: len(t) for t, r in self.rank.items()}
+        #: By id: length, and the longest token that is a proper prefix (-1 for a byte).
+        self.size, self.shorter = [0] * (max(self.token_of) + 1), [-1] * (max(self.token_of) + 1)
         missing = [b for b in range(256) if chr(b) not in self.rank]
         if missing:
             raise ValueError(f"{path}: no token for the bytes {missing}")
         self.automaton = ahocorasick.Automaton()
         for t, r in self.rank.items():
-            self.automaton.add_word(t, (len(t), r))
+            self.automaton.add_word(t, (len(t) - 1, r))
+            self.size[r] = len(t)
+            self.shorter[r] = next((self.rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.rank), -1)
         self.automaton.make_automaton()
         self.split = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int] = {}
         self.edges: tuple[dict[int, list | None], dict[int, list | None]] = ({}, {})
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """Parts of a few bytes by the definition: again and again the adjacent pair of the lowest rank merges, from the left; ``least`` are left."""
@@ -114,53 +116,45 @@ class BacktrackEncoder:
             self.pairs[left, right] = known
         return known
 
-    def _shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of the token, -1 for a byte."""
-        found = self.shorter.get(token)
-        if found is None:
-            text = self.token_of[token]
-            found = next((self.rank[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.rank), -1)
-            self.shorter[token] = found
-        return found
-
     def encode_piece(self, text: str) -> tuple[int, ...]:
         """Ids of one pre-token, given as Latin-1; a whole token is its own encoding."""
         whole = self.rank.get(text)
         if whole is not None:
             return (whole,)
-        longest = array("i", bytes(4 * len(text)))
-        for end, (n, token) in self.automaton.iter(text):  # of the tokens from one place the last is the longest
-            longest[end + 1 - n] = token
-        reachable, size, pairs, fits = bytearray(b"\1" * (len(text) + 1)), self.size, self.pairs, self._compatible
-        out, at, token, before = array("i"), 0, longest[0], -1
+        longest = [0] * len(text)
+        for end, (back, token) in self.automaton.iter(text):  # of the tokens from one place the last is the longest
+            longest[end - back] = token
+        size, shorter, pairs, fits, most = self.size, self.shorter, self.pairs, self._compatible, len(text)
+        closed: set[int] = set()
+        out, at, token, before = [], 0, longest[0], -1
         while True:
             while token >= 0:
                 end = at + size[token]
-                if reachable[end]:
+                if end not in closed:
                     known = pairs.get((before, token))
                     if known or known is None and fits(before, token):
                         break
-                token = self._shorter(token)
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                if end == len(text):
+                if end == most:
                     return tuple(out)
                 at, before, token = end, token, longest[end]
             else:
-                reachable[at] = 0
+                closed.add(at)
                 token = out.pop()  # its end is closed now, so a shorter one comes
                 at, before = at - size[token], out[-1] if out else -1
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        pieces, known = self.split.findall(text), self.pieces
-        if len(known) > MEMORY:
-            known.clear()
+        pieces, known, older = self.split.findall(text), self.pieces, self.older
+        if len(known) > MEMORY:  # what isn't asked for until the next time is forgotten
+            self.pieces, self.older = known, older = {}, known
         out = list(map(known.get, pieces))
         if None in out:
             for i, p in enumerate(pieces):
                 if out[i] is None:
-                    ids = known.get(p) or self.encode_piece(p.encode("utf-8").decode("latin-1"))
+                    ids = known.get(p) or older.get(p) or self.encode_piece(p.encode("utf-8").decode("latin-1"))
                     if len(p) <= SHORT:
                         known[p] = ids
                     out[i] = ids
