@@ -16,9 +16,9 @@ is found once and remembered, as are the ids of short pre-tokens.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .text import STEP_ROWS, map_texts, small_batches
 
-#: Pre-tokens that a worker remembers at most, twice, and a quarter of the pairs; pre-tokens over SHORT characters are not remembered.
-MEMORY, SHORT = 200_000, 64
+#: Pre-tokens that a worker remembers at most, in two generations, and three times as many pairs; pre-tokens over SHORT characters are not remembered.
+MEMORY, SHORT = 400_000, 64
+_NONE: dict[int, bool] = {}
 
 #: Ids that one step of decoding holds at most, besides a single longer row.
 STEP_IDS = 500_000
@@ -42,7 +43,6 @@ class BacktrackEncoder:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(t).decode("latin-1"): int(r) for t, r in map(bytes.split, f)}
-        self.bytes_of = {r: t.encode("latin-1") for t, r in self.rank.items()}
         self.token_of = {r: t for t, r in self.rank.items()}
         #: By id: length, and the longest token that is a proper prefix (-1 for a byte).
         self.size, self.shorter = [0] * (max(self.token_of) + 1), [-1] * (max(self.token_of) + 1)
@@ -55,11 +55,15 @@ class BacktrackEncoder:
             self.size[r] = len(t)
             self.shorter[r] = next((self.rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.rank), -1)
         self.automaton.make_automaton()
+        self.lengths = np.array(self.size)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer("".join(self.token_of.get(r, "") for r in range(len(self.size))).encode("latin-1"), np.uint8)
         self.split = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.edges: tuple[dict[int, list | None], dict[int, list | None]] = ({}, {})
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """Parts of a few bytes by the definition: again and again the adjacent pair of the lowest rank merges, from the left; ``least`` are left."""
@@ -99,53 +103,56 @@ class BacktrackEncoder:
         of the other make a token at a time when both are there; of equal ranks the
         left one is merged first.
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            a, b = self._edge(left, 1) if left >= 0 else None, self._edge(right, 0)
-            if b is None or left >= 0 and a is None:
-                known = self.merged(self.token_of[left] + self.token_of[right]) == [self.token_of[left], self.token_of[right]] if left >= 0 else self.merged(self.token_of[right]) == [self.token_of[right]]
-            else:
-                known, rank = True, self.rank
-                for x, from_x, until_x in a or ():
-                    for y, from_y, until_y in b:
-                        r = rank.get(x + y)
-                        if r is not None and (at := max(r, from_x, from_y)) < until_x and at <= until_y:
-                            known = False
-            if len(self.pairs) > 4 * MEMORY:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
-
-    def encode_piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one pre-token, given as Latin-1; a whole token is its own encoding."""
+        a, b = self._edge(left, 1) if left >= 0 else [], self._edge(right, 0)
+        if a is None or b is None:
+            parts = [self.token_of[t] for t in (left, right) if t >= 0]
+            apart = self.merged("".join(parts)) == parts
+        else:
+            apart, get = True, self.rank.get
+            for x, from_x, until_x in a:
+                for y, from_y, until_y in b:
+                    r = get(x + y)
+                    if r is not None and r < until_x and r <= until_y and from_y < until_x and from_x <= until_y:
+                        apart = False
+        if self.n_pairs > 3 * MEMORY:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        self.pairs.setdefault(left, {})[right] = apart
+        return apart
+
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of one pre-token as int32; a whole token is its own encoding."""
+        text = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
         whole = self.rank.get(text)
         if whole is not None:
-            return (whole,)
+            return array("i", (whole,)).tobytes()
         longest = [0] * len(text)
         for end, (back, token) in self.automaton.iter(text):  # of the tokens from one place the last is the longest
             longest[end - back] = token
         size, shorter, pairs, fits, most = self.size, self.shorter, self.pairs, self._compatible, len(text)
         closed: set[int] = set()
-        out, at, token, before = [], 0, longest[0], -1
+        out, at, token, before, after = array("i"), 0, longest[0], -1, pairs.get(-1, _NONE)
         while True:
             while token >= 0:
                 end = at + size[token]
                 if end not in closed:
-                    known = pairs.get((before, token))
+                    known = after.get(token)
                     if known or known is None and fits(before, token):
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 if end == most:
-                    return tuple(out)
+                    return out.tobytes()
                 at, before, token = end, token, longest[end]
             else:
                 closed.add(at)
                 token = out.pop()  # its end is closed now, so a shorter one comes
                 at, before = at - size[token], out[-1] if out else -1
+            after = pairs.get(before, _NONE)
 
-    def encode(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
         pieces, known, older = self.split.findall(text), self.pieces, self.older
         if len(known) > MEMORY:  # what isn't asked for until the next time is forgotten
@@ -154,15 +161,24 @@ class BacktrackEncoder:
         if None in out:
             for i, p in enumerate(pieces):
                 if out[i] is None:
-                    ids = known.get(p) or older.get(p) or self.encode_piece(p.encode("utf-8").decode("latin-1"))
+                    found = known.get(p) or older.get(p) or self.encode_piece(p)
                     if len(p) <= SHORT:
-                        known[p] = ids
-                    out[i] = ids
-        return list(chain.from_iterable(out))
+                        known[p] = found
+                    out[i] = found
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        """The same as a list."""
+        return self.ids(text).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, one after another; an unknown id raises."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.bytes[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -180,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         enc = encoder(path, pattern)
-        return lambda ids, texts: {"doc_id": ids, "ids": [enc.encode(t) for t in texts]}
+        return lambda ids, texts: {"doc_id": ids, "ids": [enc.ids(t) for t in texts]}
 
     return map_texts(docs, make, "doc_id long, ids array<int>")
 
@@ -194,7 +210,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         enc = encoder(path, pattern)
 
         def made(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.int32())), pa.array([enc.decode(x or ()) for x in b.column(1).to_pylist()], pa.binary())], schema=schema)
+            ids = b.column(1).cast(pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([enc.decode(x.values.to_numpy()) if x.is_valid else b"" for x in ids], pa.binary())], schema=schema)
 
         for b in (b.slice(i, STEP_ROWS) for b in batches for i in range(0, len(b), STEP_ROWS)):
             size, start = np.cumsum(b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0

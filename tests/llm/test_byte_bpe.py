@@ -7,6 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from meshwork.llm import byte_bpe
 from meshwork.llm.byte_bpe import BacktrackEncoder, decode_documents, encode_documents, round_trip
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -65,6 +66,23 @@ def test_ranks_in_any_order(tmp_path):
             assert ours.encode(text) == lib.encode_ordinary(text), (reached, extra, text)
 
 
+def test_decoding_any_ids():
+    r = random.Random(8)
+    ids = [r.randrange(len(RANKS)) for _ in range(5000)]
+    assert OURS.decode(ids) == LIB.decode_bytes(ids) and OURS.decode([]) == b""
+    for bad in (-1, len(RANKS)):
+        with pytest.raises(ValueError, match="vocabulary"):
+            OURS.decode([5, bad])
+
+
+def test_what_is_forgotten_comes_back(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMORY", 20)
+    ours, r = BacktrackEncoder(PATH, PATTERN), random.Random(4)
+    for _ in range(40):
+        text = " ".join("".join(r.choice("abetions") for _ in range(r.randint(1, 9))) for _ in range(15))
+        assert ours.encode(text) == LIB.encode_ordinary(text)
+
+
 def test_missing_byte(tmp_path):
     (tmp_path / "few").write_text("YQ== 0\n")
     with pytest.raises(ValueError, match="no token"):
