@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontamination, fingerprints, mixing, quality, scoring, secrets, simhash, token_counts, token_store
+from . import byte_bpe, centroids, chat, decontamination, fingerprints, mixing, prefix_trie, quality, scoring, secrets, simhash, token_counts, token_store
 
 #: Folder of the public tokenizer files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -76,6 +76,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in sixteen clusters."""
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations, a row for each node."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token ids of every document, encoded and decoded."""
     import public_tokenizers
@@ -85,7 +95,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this package."""
-    made = [op1_mixing, op2_decontamination, op3_simhash, op4_secrets, op5_scoring, op6_token_counts, op7_quality, op8_fingerprints, op9_token_store, op10_chat, op13_byte_bpe]
+    made = [op1_mixing, op2_decontamination, op3_simhash, op4_secrets, op5_scoring, op6_token_counts, op7_quality, op8_fingerprints, op9_token_store, op10_chat, op11_centroids, op12_prefix_trie, op13_byte_bpe]
     return {f.__name__: f for f in made}
 
 
@@ -116,6 +126,56 @@ SELECT doc_id, item_id, first::BIGINT AS first_word, words::BIGINT AS n_words, s
 """
 
 
+def _lloyd_sql(rounds: int = 3, k: int = 16) -> str:
+    """Every vector against every centroid in each round; sums less their remainder, so that division is exact."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT p.vec_id, c.j, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d FROM points p JOIN c{i} c ON c.i = p.i GROUP BY p.vec_id, c.j),
+a{i} AS (SELECT vec_id, j, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, j) AS r FROM d{i}) WHERE r = 1)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT a.j, p.i, sum(p.x)::BIGINT AS s, count(*) AS n FROM a{i} a JOIN points p ON p.vec_id = a.vec_id GROUP BY a.j, p.i),
+c{i + 1} AS (SELECT c.j, c.i, CASE WHEN s.n IS NULL THEN c.x ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END AS x FROM c{i} c LEFT JOIN s{i} s ON s.j = c.j AND s.i = c.i)""")
+    return f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+points AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept),
+c0 AS (SELECT j, unnest(range(1, 65)) AS i, unnest(v) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, v FROM kept) WHERE j < {k}),
+{",\n".join(steps)},
+names AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT a.vec_id, a.j::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, n.centroid_sha256
+FROM a{rounds} a JOIN names n ON n.j = a.j
+"""
+
+
+#: Lists of turns as keys; every node is counted into each of its prefixes. crc32 takes a byte, then its eight bits, at a time.
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT v.c, 0 AS own, t.pos, {'r': t.r, 't': t.t} AS x FROM convs v JOIN turns t ON t.c = v.c - v.c % 5 AND t.pos < v.h
+  UNION ALL SELECT v.c, 1, t.pos, {'r': t.r, 't': t.t} FROM convs v JOIN turns t ON t.c = v.c AND t.pos >= v.h),
+seqs AS (SELECT v.c, coalesce(s.xs, []) AS xs FROM convs v LEFT JOIN (SELECT c, list(x ORDER BY own, pos) AS xs FROM rebuilt GROUP BY c) s ON s.c = v.c),
+steps AS (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS depth FROM seqs),
+nodes AS (
+  SELECT xs[1:depth] AS p, depth, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN len(xs) = depth THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM steps GROUP BY 1, 2),
+kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT p[1:d] AS p, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT n.p, unnest(range(0, n.depth + 1)) AS d, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf,
+      CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.p[n.depth].t) END AS saved
+    FROM nodes n LEFT JOIN kids ON kids.p = n.p) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p LEFT JOIN kids ON kids.p = n.p LEFT JOIN nodes up ON n.depth > 0 AND up.p = n.p[1:n.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express: the others hash, tokenise or learn."""
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op11_centroids": _lloyd_sql(), "op12_prefix_trie": OP12_SQL}
