@@ -19,8 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import community, index, metapath, metrics, neighborhood, similarity
+from .operators import community, forest, index, local, metapath, metrics, neighborhood, served, similarity, skyline
 from .session import materialize
+from .sources.buckets import buckets_for, read_bucketed, write_bucketed
 from .sources.hin import Hin
 from .sources.spec import QuerySpec
 
@@ -56,19 +57,29 @@ def prepare(hin: Hin, spec: QuerySpec, scale: int = 100) -> Prepared:
 
 @dataclass(frozen=True)
 class Index:
-    """Stored similarity vectors (u, w, vec) of ``types``, neighbourhoods, and threshold vectors (v, thres) by k."""
+    """Stored similarity vectors (u, w, vec) of ``types``, neighbourhoods, threshold vectors (v, thres) by k, and trees.
+
+    Vectors and neighbourhoods are bucketed by u, thresholds by v, in the same number
+    of buckets. ``forests`` and ``taus``, by the place of the type, are the merge
+    forest (a, b, lv) and the levels (v, lv) of that type's threshold tree for the
+    least k, where trees were asked for.
+    """
 
     types: list[int]
     nbr: DataFrame
     vectors: DataFrame
     thresholds: dict[int, DataFrame]
+    forests: dict[int, DataFrame]
+    taus: dict[int, DataFrame]
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
         """Read what :func:`build_index` wrote."""
         types = [r.type for r in spark.read.parquet(f"{folder}/types").orderBy("at").collect()]
         ks = [r.k for r in spark.read.parquet(f"{folder}/ks").collect()]
-        return cls(types, index.load_index(spark, folder, "nbr"), spark.read.parquet(f"{folder}/vectors"), {k: index.load_index(spark, folder, "k_thres", k) for k in ks})
+        trees = [r.at for r in spark.read.parquet(f"{folder}/trees").collect()]
+        read = lambda part: read_bucketed(spark, f"{folder}/{part}")
+        return cls(types, read("nbr"), read("vectors"), {k: read(f"k_thres_{k}") for k in ks}, {i: read(f"forest_{i}") for i in trees}, {i: read(f"tau_{i}") for i in trees})
 
     def edges(self, eps: dict[int, float]) -> DataFrame:
         """Directed similar pairs; every threshold's type must be indexed."""
@@ -78,12 +89,14 @@ class Index:
         return similarity.index_edges(self.vectors, self.types, eps)
 
 
-def build_index(hin: Hin, spec: QuerySpec, folder: str, start_k: int = -1, scale: int = 100, subsets: bool = False) -> Index:
+def build_index(hin: Hin, spec: QuerySpec, folder: str, start_k: int = -1, scale: int = 100, subsets: bool = False, improved: bool = False, trees: bool = False) -> Index:
     """Similarity vectors of the compared types and thresholds for ``start_k``; -1 stands for 1, 2 and 3.
 
     Vectors are kept of pairs similar, however little, in all types, which answers
     thresholds above 0 in all; with ``subsets`` of pairs similar in any, which also
-    answers thresholds in some of the types.
+    answers thresholds in some of the types. Thresholds come from the grid of levels, or
+    with ``improved``, and for four types and more, from halving the lattice. With
+    ``trees`` each type's threshold tree is stored as a merge forest.
     """
     if start_k != -1 and start_k < 1:
         raise ValueError("start_k is -1 or at least 1")
@@ -92,15 +105,22 @@ def build_index(hin: Hin, spec: QuerySpec, folder: str, start_k: int = -1, scale
         vectors = similarity.similarity_vectors(p.nbr, materialize(similarity.typed_similarity(p.nbr), "sim"), p.types)
     else:
         vectors = similarity.common_vectors(p.nbr, p.types)
-    vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
-    vectors = spark.read.parquet(f"{folder}/vectors")
+    vectors = materialize(vectors, "vectors")
+    buckets = buckets_for(vectors.count())
+    write_bucketed(vectors, f"{folder}/vectors", "u", buckets)
+    write_bucketed(p.nbr, f"{folder}/nbr", "u", buckets)
     ks = [1, 2, 3] if start_k == -1 else [start_k]
-    common = index.common_vectors(vectors)
+    common, find = index.common_vectors(vectors), skyline.lattice_thresholds if improved or len(p.types) > 3 else index.k_thresholds
     for k in ks:
-        index.save_index(folder, k, thresholds=index.k_thresholds(common, k, len(p.types)))
-    index.save_index(folder, ks[0], nbr=p.nbr)
-    spark.createDataFrame(list(enumerate(p.types)), "at int, type int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/types")
-    spark.createDataFrame([(k,) for k in ks], "k int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ks")
+        write_bucketed(find(common, k, len(p.types)), f"{folder}/k_thres_{k}", "v", buckets)
+    stored = list(range(len(p.types))) if trees else []
+    for i in stored:
+        pairs = materialize(common.select("u", "w", F.col("vec")[i].alias("s")), "s")
+        tau = materialize(index.k_thresholds_1d(pairs, ks[0]), "tau")
+        write_bucketed(tau, f"{folder}/tau_{i}", "v", buckets)
+        write_bucketed(forest.spanning_forest(forest.weighted_pairs(pairs, tau)), f"{folder}/forest_{i}", "a", buckets)
+    for name, rows, schema in (("types", list(enumerate(p.types)), "at int, type int"), ("ks", [(k,) for k in ks], "k int"), ("trees", [(i,) for i in stored], "at int")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
     return Index.load(spark, folder)
 
 
@@ -136,6 +156,43 @@ def community_search(hin: Hin, spec: QuerySpec, measure: str = "jaccard", combin
     return community.search(members, neighborhood.query_vertices(hin, spec, selected))
 
 
+def local_search(hin: Hin, spec: QuerySpec, measure: str = "jaccard", selected: DataFrame | None = None) -> DataFrame:
+    """(q, v, role): the answers of :func:`community_search`, found from the query vertices outwards.
+
+    Worth it where the communities asked for are a small part of the network.
+    """
+    if measure not in TYPED:
+        raise ValueError(f"no measure {measure} over neighbourhoods")
+    distance = neighborhood.schema_distance(hin, spec.query_type)
+    queries = materialize(neighborhood.query_vertices(hin, spec, selected), "queries")
+    found = local.local_edges(hin, queries, spec.query_type, spec.hops, spec.thresholds(distance), distance, spec.mu, measure)
+    return community.search(materialize(community.membership(found.edges, spec.mu), "members"), queries)
+
+
+def index_search(hin: Hin, spec: QuerySpec, stored: Index, selected: DataFrame | None = None) -> DataFrame:
+    """(q, v, role): the answers of :func:`community_search`, walked from the query vertices through the stored index."""
+    queries = materialize(neighborhood.query_vertices(hin, spec, selected), "queries")
+    edges = served.served_edges(stored.vectors, stored.types, _indexed(hin, spec, stored), spec.mu, queries)
+    return community.search(materialize(community.membership(edges, spec.mu), "members"), queries)
+
+
+def index_kcore_search(hin: Hin, spec: QuerySpec, stored: Index, selected: DataFrame | None = None) -> DataFrame:
+    """(q, v): the answers of :func:`kcore_search` from stored thresholds for k = mu, in whole hundredths; nothing is peeled."""
+    if spec.mu not in stored.thresholds:
+        raise ValueError(f"the index has no thresholds for k = {spec.mu}")
+    eps = _indexed(hin, spec, stored)
+    queries = materialize(neighborhood.query_vertices(hin, spec, selected), "queries")
+    return served.served_k_core(stored.vectors, stored.thresholds[spec.mu], stored.types, eps, queries)
+
+
+def _indexed(hin: Hin, spec: QuerySpec, stored: Index) -> dict[int, float]:
+    eps = spec.thresholds(neighborhood.schema_distance(hin, spec.query_type))
+    missing = [t for t in eps if t not in stored.types]
+    if missing:
+        raise ValueError(f"types {missing} are not indexed")
+    return eps
+
+
 def community_detect(hin: Hin, spec: QuerySpec, stored: Index | None = None) -> DataFrame:
     """(v, role, cid): all communities, hubs and outliers among the vertices of the query type."""
     p = prepare(hin, spec)

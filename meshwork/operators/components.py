@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.levels import level_bits, union_bits
 from ..session import NUMBER_ROWS, drop_table, files_for, materialize
 
 
@@ -37,3 +38,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", files: in
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return found.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def flagged_components(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(component, size, low, high, fixed): components that carry the union of their pairs' levels and a flag.
+
+    ``pairs``: a, b, lv (level of the pair, 0 to 100); ``vertices``: v, fixed. A vertex
+    without a pair is a component of its own without levels. Each vertex first gets
+    the union of its own pairs' levels; sets are two longs throughout, so what is
+    merged by component is a row for each vertex, combined before the shuffle.
+    """
+    low, high = level_bits(F.col("lv"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), low.alias("low"), high.alias("high"))
+    own = ends.groupBy("v").agg(*[x.alias(n) for x, n in zip(union_bits(F.col("low"), F.col("high")), ("low", "high"), strict=True)])
+    named = connected_components(pairs).withColumnRenamed("node", "v")
+    none = F.lit(0).cast("long")
+    rows = vertices.groupBy("v").agg(F.bool_or("fixed").alias("fixed")).join(named, "v", "left").join(own, "v", "left")
+    rows = rows.select(F.coalesce("component", "v").alias("component"), F.coalesce("low", none).alias("low"), F.coalesce("high", none).alias("high"), F.coalesce("fixed", F.lit(False)).alias("fixed"))
+    union = [x.alias(n) for x, n in zip(union_bits(F.col("low"), F.col("high")), ("low", "high"), strict=True)]
+    return rows.groupBy("component").agg(F.count("*").alias("size"), *union, F.bool_or("fixed").alias("fixed"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
-from ..functions.similarity import MEASURES, mean_similarity
-from ..operators import community, index, labels, metapath, metrics, neighborhood, similarity
+from ..functions.levels import bits_levels, bits_size
+from ..functions.similarity import MEASURES, level, mean_similarity
+from ..operators import bounds, community, components, forest, index, labels, metapath, metrics, neighborhood, similarity, skyline
 from ..session import materialize, shared_dir
 from ..sources.hin import as_evaluation
 from ..sources.spec import MetaPath, parse_spec
@@ -483,6 +484,61 @@ def kthres_2d(spark, d):
     return index.k_thresholds(_h2_vectors(spark, d), MU, 2).select("v", F.concat_ws(" ", F.col("thres").cast("array<string>")).alias("thres"))
 
 
+_H5 = """nbr AS (SELECT c_custkey AS u, 1 AS type, CAST(c_nationkey AS VARCHAR) AS v FROM customer UNION SELECT o_custkey, 2, o_orderpriority FROM orders
+  UNION SELECT o_custkey, 3, CAST(l_suppkey AS VARCHAR) FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT o_custkey, 4, o_orderstatus FROM orders
+  UNION SELECT c_custkey, 5, CAST(c_nationkey AS VARCHAR) || '-' || c_mktsegment FROM customer)"""
+
+
+def _lattice_sql(key: int, sides: list[int], swept: int, k: int) -> str:
+    """Every cell of the levels that occur, peeled on its own: pairs with the same ``key``, alike in the other types."""
+    types = [key, *sides, swept]
+    n = ", ".join(f"count_if(type = {t}) AS n{t}" for t in types)
+    c = ", ".join(f"count_if(a.type = {t}) AS c{t}" for t in types)
+    # two customers without orders are alike in these types
+    s = ", ".join(f"CASE WHEN p.n{t} = 0 AND q.n{t} = 0 THEN 1.0::DOUBLE ELSE c{t}::DOUBLE / (p.n{t} + q.n{t} - c{t}) END AS s{t}" for t in types)
+    levels = ", ".join(f"{_LEVEL.replace('s *', f's{t} *').replace('WHEN s ', f'WHEN s{t} ')} AS l{t}" for t in [*sides, swept])
+    cells = ", ".join(f"(SELECT DISTINCT l{t} AS m{t} FROM lv) AS g{t}" for t in [*sides, swept])
+    at = [f"m{t}" for t in [*sides, swept]]
+    same = " AND ".join(f"a.{m} = b.{m}" for m in at)
+    inside = " AND ".join(f"x.l{t} >= a.m{t}" for t in [*sides, swept])
+    best = " AND ".join(f"o.{m} >= p.{m}" for m in at)
+    differ = " OR ".join(f"o.{m} > p.{m}" for m in at)
+    text = " || ' ' || ".join(["'100'" if t == key else f"p.m{t}" for t in sorted(types)])
+    return f"""WITH RECURSIVE {_H5}, sizes AS (SELECT u, {n} FROM nbr GROUP BY u),
+near AS (SELECT a.u, b.u AS w FROM nbr a JOIN nbr b ON a.type = {key} AND b.type = {key} AND a.v = b.v),
+common AS (SELECT n.u, n.w, {c} FROM near n JOIN nbr a ON a.u = n.u LEFT JOIN nbr b ON b.u = n.w AND b.type = a.type AND b.v = a.v WHERE b.u IS NOT NULL GROUP BY n.u, n.w),
+sims AS (SELECT c.u, c.w, {s} FROM common c JOIN sizes p ON p.u = c.u JOIN sizes q ON q.u = c.w),
+lv AS (SELECT u, w, {levels} FROM sims WHERE {" AND ".join(f"s{t} > 0" for t in types)}),
+alive AS (SELECT 0 AS it, {", ".join(at)}, u FROM (SELECT DISTINCT u FROM lv), {cells} UNION ALL
+  SELECT a.it + 1, {", ".join(f"a.{m}" for m in at)}, x.u FROM lv x JOIN alive a ON x.u = a.u JOIN alive b ON x.w = b.u AND b.it = a.it AND {same}
+  WHERE a.it < 14 AND {inside} GROUP BY a.it, {", ".join(f"a.{m}" for m in at)}, x.u HAVING count(*) >= {k}),
+p AS (SELECT * FROM alive WHERE it = 14)
+SELECT p.u AS v, {text} AS thres FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.u = p.u AND {best} AND ({differ}))"""
+
+
+def _profile_thresholds(spark, d, types: list[int], k: int) -> DataFrame:
+    vectors = materialize(similarity.common_vectors(N.customer_profile(spark, d), types), "vectors")
+    return skyline.lattice_thresholds(vectors, k, len(types)).select("v", F.concat_ws(" ", F.col("thres").cast("array<string>")).alias("thres"))
+
+
+@query(_lattice_sql(1, [2], 3, 3))
+def kthres_3d(spark, d):
+    """Skylines of three levels at which a customer is in the 3-core: nation, priorities and suppliers of its orders."""
+    return _profile_thresholds(spark, d, [1, 2, 3], 3)
+
+
+@query(_lattice_sql(5, [2, 4], 3, 3))
+def kthres_4d(spark, d):
+    """Skylines of four levels: nation with segment, priorities, suppliers and states of its orders."""
+    return _profile_thresholds(spark, d, [2, 3, 4, 5], 3)
+
+
+@query(f"{_H2_LEVELS} SELECT v, '100 ' || lv AS thres FROM tau")
+def kthres_lattice(spark, d):
+    """The skylines of kthres_2d by halving the lattice."""
+    return skyline.lattice_thresholds(_h2_vectors(spark, d), MU, 2).select("v", F.concat_ws(" ", F.col("thres").cast("array<string>")).alias("thres"))
+
+
 @query(f"""WITH {_H2},
 {_H2_PAIRS},
 l AS (SELECT u, w, {_LEVEL} AS l FROM x WHERE u <> w)
@@ -538,6 +594,45 @@ def mutree_query(spark, d):
     return index.tree_query(levels, edges, tau, 0.25)
 
 
+@query(f"""{_H2_TREE}, sets AS (SELECT lv, cid, count(*) AS size, list(v ORDER BY v) AS vs FROM levels GROUP BY lv, cid),
+nodes AS (SELECT max(lv) AS lv, cid, size, vs FROM sets GROUP BY cid, size, vs),
+up AS (SELECT n.lv, n.cid, max(p.lv) AS plv, arg_max(p.cid, p.lv) AS pcid FROM nodes n JOIN nodes p ON p.lv < n.lv AND list_contains(p.vs, n.cid) GROUP BY n.lv, n.cid)
+SELECT nodes.lv, nodes.cid, size, plv AS parent_lv, pcid AS parent_cid FROM nodes LEFT JOIN up ON up.lv = nodes.lv AND up.cid = nodes.cid""")
+def mutree_inserted(spark, d):
+    """The same tree from a merge forest: that of one half of the pairs, with the other half inserted."""
+    edges = materialize(_h2_vectors(spark, d).select("u", "w", F.col("vec")[1].alias("s")), "s")
+    tau = materialize(index.k_thresholds_1d(edges, MU), "tau")
+    pairs = materialize(forest.weighted_pairs(edges, tau), "weighted")
+    half = (F.col("a") + F.col("b")) % 2 == 0
+    tree = materialize(forest.spanning_forest(pairs.where(half)), "forest")
+    return forest.forest_tree(materialize(forest.inserted(tree, pairs.where(~half)), "forest"), tau)
+
+
+@query(f"""WITH RECURSIVE {_H2}, {_H2_PAIRS}, l AS (SELECT u, w, {_LEVEL} AS lv FROM x WHERE u < w AND s >= 0.25::DOUBLE),
+both_ends AS (SELECT u, w FROM l UNION ALL SELECT w, u FROM l),
+reach AS (SELECT c_custkey AS u, c_custkey AS w FROM customer UNION SELECT r.u, b.w FROM reach r JOIN both_ends b ON r.w = b.u),
+named AS (SELECT u AS v, min(w) AS component FROM reach GROUP BY u),
+sets AS (SELECT component, count(DISTINCT l.lv) AS n_levels, string_agg(DISTINCT l.lv::VARCHAR, ' ' ORDER BY l.lv::VARCHAR) AS levels FROM l JOIN named ON named.v = l.u GROUP BY component)
+SELECT component, count(*) AS size, bool_or(v % 20 = 0) AS fixed, coalesce(any_value(n_levels), 0) AS n_levels, coalesce(any_value(levels), '') AS levels
+FROM named LEFT JOIN sets USING (component) GROUP BY component""")
+def flagged_components(spark, d):
+    """Components of customers alike by a quarter, their pairs' levels, and whether they hold one of every twentieth."""
+    x = _h2_vectors(spark, d).select(F.col("u").alias("a"), F.col("w").alias("b"), F.col("vec")[1].alias("s")).where("a < b and s >= 0.25D")
+    # customers without a supplier are alike in having none, and not compared here
+    listed = N.customer_supply(spark, d).where("type = 2").select(F.col("u").alias("a")).distinct()
+    x = x.join(listed, "a", "left_semi").select("a", "b", level(F.col("s")).alias("lv"))
+    vertices = N.vertices_of(spark, d, "customer", "c_custkey").select(F.col("u").alias("v"), (F.col("u") % 20 == 0).alias("fixed"))
+    got = components.flagged_components(materialize(x, "pairs"), vertices)
+    levels = F.concat_ws(" ", F.array_sort(bits_levels(F.col("low"), F.col("high")).cast("array<string>")))
+    return got.select("component", "size", "fixed", bits_size(F.col("low"), F.col("high")).cast("long").alias("n_levels"), levels.alias("levels"))
+
+
+@query(f"WITH {_H1}, {_SIM}, {_EDGES} SELECT u FROM edges GROUP BY u HAVING count(*) >= 5")
+def core_vertices_bounded(spark, d):
+    """Core parts, found by bounds."""
+    return bounds.bounded_cores(N.part_supply(spark, d), EPS, MU).cores
+
+
 # -- from a specification --------------------------------------------------------------------
 
 
@@ -570,11 +665,18 @@ def search_from_spec(spark, d):
     return api.community_search(hin, _spec(hin))
 
 
+@query(_SPEC_SEARCH)
+def search_local(spark, d):
+    """The same answers from the twenty customers outwards."""
+    hin = N.network(spark, d)
+    return api.local_search(hin, _spec(hin))
+
+
 @query(_SPEC_SEARCH)
 def search_by_index(spark, d):
     """The same answers from a stored index."""
     hin = N.network(spark, d)
-    return api.community_search(hin, _spec(hin), stored=_stored(spark, hin, _spec(hin)))
+    return api.index_search(hin, _spec(hin), _stored(spark, hin, _spec(hin)))
 
 
 @query(_SPEC_DETECT)
@@ -607,6 +709,18 @@ def kcore_search_scaled(spark, d):
     return api.kcore_search(hin, _spec(hin), scale=50)
 
 
+@query(
+    f"WITH RECURSIVE {_SPEC_NBR}, {_SIM}, {_EDGES}, "
+    "alive(it, u) AS (SELECT DISTINCT 0, u FROM edges UNION ALL SELECT a.it + 1, e.u FROM edges e JOIN alive a ON e.u = a.u JOIN alive b ON e.w = b.u AND b.it = a.it WHERE a.it < 20 GROUP BY a.it, e.u HAVING count(*) >= 3), "
+    f"kcore AS (SELECT u FROM alive WHERE it = 20), kk AS (SELECT e.u, e.w FROM edges e JOIN kcore a ON e.u = a.u JOIN kcore b ON e.w = b.u), {_SPEC_QUERIES}, "
+    "hit AS (SELECT u AS q, u AS v FROM kcore WHERE u IN (SELECT id FROM q) UNION SELECT h.q, k.w FROM hit h JOIN kk k ON h.v = k.u) SELECT q, v FROM hit"
+)
+def kcore_search_by_index(spark, d):
+    """Connected 3-cores of twenty customers among all, from stored thresholds."""
+    hin = N.network(spark, d)
+    return api.index_kcore_search(hin, _spec(hin), _stored(spark, hin, _spec(hin)))
+
+
 @query(f"""{_SPEC_SCAN},
 {_SPEC_QUERIES},
 f AS (SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)),

@@ -39,6 +39,14 @@ def customer_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nbr((c, "c_custkey", 1, "c_nationkey"), (o.join(li, o.o_orderkey == li.l_orderkey), "o_custkey", 2, "l_suppkey"))
 
 
+def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by nation (1), the priorities (2), suppliers (3) and states (4) of their orders, and nation with segment (5)."""
+    c, o, li = (table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
+    market = c.select("c_custkey", F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("market"))
+    orders = [(o, "o_custkey", 2, "o_orderpriority"), (o.join(li, o.o_orderkey == li.l_orderkey), "o_custkey", 3, "l_suppkey"), (o, "o_custkey", 4, "o_orderstatus")]
+    return _nbr((c, "c_custkey", 1, "c_nationkey"), *orders, (market, "c_custkey", 5, "market"))
+
+
 def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by brand (1) and the words of their names (2)."""
     p = table(spark, sf_dir, "part")
