@@ -4,8 +4,9 @@ Every vertex has a least and a greatest number of similar vertices. The least be
 with the vertices of the very same neighbourhoods, which are similar without a look at
 them, itself included. The greatest begins with the entries that its set shares in the
 prefix join, counted and not formed; of what is left, pairs with an unsettled end are
-formed, and size tests thin them. Rounds then verify for each unsettled vertex its
-most promising pairs, twice as many each time; a verified pair moves the bounds of
+formed, and thinned by sizes and by how many members they can have in common at most,
+which the shared entries and what comes after them tell. Rounds then verify for each unsettled vertex its
+most promising pairs, four times as many each time; a verified pair moves the bounds of
 both ends, and a pair whose ends are both settled is never verified.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import MEASURES
-from ..session import broadcast_if_small, drop_table, materialize
+from ..session import materialize, settle
 from .local import verified
 from .similarity import BOUNDS, LISTED, _entered, type_costs
 
@@ -39,30 +40,34 @@ def _twins(nbr: DataFrame) -> DataFrame:
     return signed.join(signed.groupBy("sig").agg(F.count("*").alias("lb")), "sig").select("u", "sig", "lb")
 
 
+def _ends(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """(u, a, b, promise) for each end of the pairs that is in ``state``."""
+    return pairs.select("a", "b", "promise", F.explode(F.array("a", "b")).alias("u")).join(state.select("u"), "u", "left_semi")
+
+
 def _settled(pairs: DataFrame, state: DataFrame, nbr: DataFrame, eps: dict[int, float], measure: str, mu: int) -> tuple[DataFrame, int]:
     """(cores, verified) of the unsettled vertices ``state`` (u, lb), by rounds over their ``pairs`` (a, b, promise)."""
     found, done, k = [], 0, mu
+    left = _ends(pairs, state).groupBy("u").agg(F.count("*").alias("left"))
     while True:
-        ends = pairs.select("a", "b", "promise", F.explode(F.array("a", "b")).alias("u")).join(broadcast_if_small(state), "u")
-        left = ends.groupBy("u").agg(F.count("*").alias("left"))
-        now = materialize(state.join(left, "u", "left").select("u", "lb", (F.col("lb") + F.coalesce("left", F.lit(0))).alias("ub")), "bounds")
+        now = state.join(left, "u", "left").select("u", "lb", (F.col("lb") + F.coalesce("left", F.lit(0))).alias("ub"))
+        now, n = settle(now, "bounds")
         found.append(now.where(F.col("lb") >= mu).select("u"))
-        open_ = materialize(now.where((F.col("lb") < mu) & (F.col("ub") >= mu)).select("u", "lb"), "open")
-        if open_.isEmpty():
+        open_, n = settle(now.where((F.col("lb") < mu) & (F.col("ub") >= mu)).select("u", "lb"), "open", n)
+        if not n:
             return reduce(lambda x, y: x.unionByName(y), found), done
-        mark = lambda c: broadcast_if_small(open_.select(F.col("u").alias(c), F.lit(True).alias(f"{c}_open")))
-        useful = materialize(pairs.join(mark("a"), "a", "left").join(mark("b"), "b", "left").where("a_open or b_open").select("a", "b", "promise"), "useful")
-        both = useful.select("a", "b", "promise", F.explode(F.array("a", "b")).alias("u")).join(broadcast_if_small(open_), "u", "left_semi")
+        ends = _ends(pairs, open_)
         place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("promise"), "a", "b"))
-        chosen = materialize(both.withColumn("place", place).where(F.col("place") <= k).select("a", "b").distinct(), "chosen")
-        done += chosen.count()
-        ends = broadcast_if_small(materialize(chosen.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "ends"))
-        good = verified(chosen.select(F.col("a").alias("u"), F.col("b").alias("w")), nbr.join(ends, "u", "left_semi"), eps, measure)
+        chosen, more = settle(ends.withColumn("place", place).where(F.col("place") <= k).select("a", "b").distinct(), "chosen", k * n)
+        done += more
+        touched = chosen.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+        good = verified(chosen.select(F.col("a").alias("u"), F.col("b").alias("w")), settle(nbr.join(touched, "u", "left_semi"), "touched", 10 * more)[0], eps, measure)
         gained = good.select(F.explode(F.array("u", "w")).alias("u")).groupBy("u").agg(F.count("*").alias("more"))
-        state = materialize(open_.join(gained, "u", "left").select("u", (F.col("lb") + F.coalesce("more", F.lit(0))).alias("lb")), "state")
-        pairs = materialize(useful.join(chosen, ["a", "b"], "left_anti"), "pairs")
-        drop_table(useful)
-        k *= 2
+        state, _ = settle(open_.join(gained, "u", "left").select("u", (F.col("lb") + F.coalesce("more", F.lit(0))).alias("lb")), "state", n)
+        # pairs with an end that is open, but for those just verified
+        pairs, _ = settle(ends.select("a", "b", "promise").distinct().join(chosen, ["a", "b"], "left_anti"), "pairs", k * n)
+        left = _ends(pairs, state).groupBy("u").agg(F.count("*").alias("left"))
+        k *= 4
 
 
 def bounded_cores(nbr: DataFrame, eps: dict[int, float], mu: int, measure: str = "jaccard") -> Cores:
@@ -90,14 +95,20 @@ def bounded_cores(nbr: DataFrame, eps: dict[int, float], mu: int, measure: str =
         r = met.select(*[F.col(c).alias(f"r_{c}") for c in met.columns])
         on = reduce(lambda x, y: x & y, [F.col("v") == F.col("r_v"), *same])
         most = entries.join(r, on).groupBy("u").agg((F.sum(F.col("r_here") - 1) + 1).alias("ub"))
-        state = materialize(few.join(most, "u").where(F.col("ub") + F.col("lb") - 1 >= mu).select("u", "lb", "sig"), "state")
-        ours = entries.join(broadcast_if_small(state.select("u", "sig")), "u")
-        others = entries.join(twins.select("u", F.col("sig").alias("s2")), "u")
+        state, n_open = settle(few.join(most, "u").where(F.col("ub") + F.col("lb") - 1 >= mu).select("u", "lb", "sig"), "state")
+        ends = entries.groupBy("u").agg(F.count("*").alias("p"), F.max("v").alias("last"))
+        ours = entries.join(state.select("u", "sig"), "u").join(ends, "u")
+        others = entries.join(twins.select("u", F.col("sig").alias("s2")), "u").join(ends, "u")
         others = others.select(*[F.col(c).alias(f"r_{c}") for c in others.columns])
         apart = [F.col("v") == F.col("r_v"), *same, F.col("u") != F.col("r_u"), F.col("sig") != F.col("r_s2"), F.least("n", "r_n") >= F.greatest("n", "r_n") * F.lit(ratio - 1e-9)]
-        pairs = ours.join(others, reduce(lambda x, y: x & y, apart)).select(F.least("u", "r_u").alias("a"), F.greatest("u", "r_u").alias("b"), (F.least("n", "r_n") / F.greatest("n", "r_n")).alias("promise"))
-        pairs = materialize(pairs.distinct(), "pairs")
-        formed += pairs.count()
+        met = ours.join(others, reduce(lambda x, y: x & y, apart)).groupBy("u", "r_u", "n", "r_n", "p", "r_p", "last", "r_last").agg(F.count("*").alias("shared"))
+        # a common member that isn't shared by the entries comes after those of the set whose entries end first
+        after = F.when(F.col("last") < F.col("r_last"), F.col("n") - F.col("p")).otherwise(F.col("r_n") - F.col("r_p"))
+        most = F.least(F.col("shared") + after, "n", "r_n")
+        pairs = met.where(MEASURES[measure](most, F.col("n"), F.col("r_n")) >= F.lit(float(eps[t])))
+        pairs = pairs.select(F.least("u", "r_u").alias("a"), F.greatest("u", "r_u").alias("b"), (F.col("shared") / (F.col("n") + F.col("r_n"))).alias("promise"))
+        pairs, more = settle(pairs.groupBy("a", "b").agg(F.max("promise").alias("promise")), "pairs", n_open * mu)
+        formed += more
         cores, n = _settled(pairs, state.select("u", "lb"), own, eps, measure, mu)
         found.append(cores)
         done += n

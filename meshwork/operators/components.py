@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_bits, union_bits
-from ..session import NUMBER_ROWS, drop_table, files_for, materialize
+from ..session import NUMBER_ROWS, drop_table, files_for, materialize, settle
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None, small: bool = False) -> DataFrame:
     """(node, component) for every node of ``edges``; a component is named by its least node.
 
     Direction, repeats and self loops don't matter; edges with a null end are no
     edges. Every round is two grouped minima, which combine before the shuffle,
     and joins against one row per node; rounds grow with the logarithm of the
-    longest path. Each round is written to the shared folder, the first in ``files`` at most.
+    longest path. Each round is written to the shared folder, the first in ``files`` at most; with ``small`` a round of
+    few rows is a local relation instead.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    now = materialize(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star", files)
+    cut = (lambda df, rows: settle(df, "star", rows)[0]) if small else (lambda df, rows: materialize(df, "star", files_for(rows, NUMBER_ROWS) if rows else files))
+    now = cut(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
     before = None
     while (digest := _digest(now)) != before and digest[0]:
         before = digest
@@ -31,8 +33,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", files: in
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialize(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "star", files_for(digest[0], NUMBER_ROWS))
+        stars = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = cut(stars.unionByName(least.withColumnRenamed("m", "b")).distinct(), digest[0])
         drop_table(now)
         now = after
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -51,7 +53,7 @@ def flagged_components(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     low, high = level_bits(F.col("lv"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), low.alias("low"), high.alias("high"))
     own = ends.groupBy("v").agg(*[x.alias(n) for x, n in zip(union_bits(F.col("low"), F.col("high")), ("low", "high"), strict=True)])
-    named = connected_components(pairs).withColumnRenamed("node", "v")
+    named = connected_components(pairs, small=True).withColumnRenamed("node", "v")
     none = F.lit(0).cast("long")
     rows = vertices.groupBy("v").agg(F.bool_or("fixed").alias("fixed")).join(named, "v", "left").join(own, "v", "left")
     rows = rows.select(F.coalesce("component", "v").alias("component"), F.coalesce("low", none).alias("low"), F.coalesce("high", none).alias("high"), F.coalesce("fixed", F.lit(False)).alias("fixed"))

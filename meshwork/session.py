@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of a few fixed-width columns that may be broadcast (about 16 MB as a hash table).
 BROADCAST_ROWS = 200_000
 
+#: Rows of a few numbers that the driver holds of one table in a loop.
+LOCAL_ROWS = 20_000
+
 #: Rows of a file where the number of rows is known beforehand: of documents or what comes of them, and of a few numbers.
 TEXT_ROWS, NUMBER_ROWS = 20_000, 200_000
 
@@ -55,6 +58,21 @@ def materialize(df: DataFrame, name: str = "t", files: int | None = None) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
+def settle(df: DataFrame, name: str = "t", guess: int = 0) -> tuple[DataFrame, int]:
+    """``df`` evaluated once, and its rows: up to LOCAL_ROWS rows are held by the driver as a local relation, more are written.
+
+    For the many small tables of a loop over frontiers. A ``guess`` of more rows is
+    written at once; a wrong one costs an evaluation that ends at LOCAL_ROWS rows.
+    """
+    spark = df.sparkSession
+    if guess <= LOCAL_ROWS:
+        table = df.limit(LOCAL_ROWS + 1).toArrow()
+        if table.num_rows <= LOCAL_ROWS:
+            return (spark.createDataFrame(table, df.schema) if table.num_rows else spark.createDataFrame([], df.schema)), table.num_rows
+    df = materialize(df, name)
+    return df, df.count()
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files behind a frame made by :func:`materialize`."""
     spark = df.sparkSession
