@@ -2,7 +2,7 @@
 
 import pytest
 
-from meshwork.llm import decontamination, fingerprints, mixing, near_copies, quality, scoring, secrets, simhash, token_counts, token_store
+from meshwork.llm import byte_bpe, decontamination, fingerprints, mixing, near_copies, quality, scoring, secrets, simhash, token_counts, token_store
 from meshwork.llm.queries import tokenizer_file
 
 pytest.importorskip("public_tokenizers")
@@ -29,6 +29,12 @@ def items(spark):
     return spark.createDataFrame([(1, PASSAGE, "h"), (None, None, "h"), (2, "", "h")], "item_id long, text string, h string")
 
 
+def byte_bpe_pattern():
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 WHOLE = {
     "op1": lambda s, d: mixing.mix_sources(d),
     "op3": lambda s, d: simhash.near_groups(d),
@@ -38,6 +44,7 @@ WHOLE = {
     "op7": lambda s, d: quality.score_quality(d, labels(s)),
     "op8": lambda s, d: fingerprints.fingerprint_neighbours(d),
     "op9": lambda s, d: token_store.round_trip(d, tokenizer_file("byte_bpe_50k.json")),
+    "op13": lambda s, d: byte_bpe.round_trip(d, tokenizer_file("byte_bpe_multi_50k.tiktoken"), byte_bpe_pattern()),
 }
 
 
@@ -62,6 +69,8 @@ def test_one_row_for_each_row(spark, name):
         assert by[1][0].score == by[2][0].score and by[4][0].score == by[5][0].score
     if name == "op8":
         assert by[1][0].fingerprint == by[2][0].fingerprint == "" and by[4][0].fingerprint == by[5][0].fingerprint and by[3][0].n_chars == len(LONG)
+    if name == "op13":
+        assert by[1][0].n_tokens == by[2][0].n_tokens == 0 and by[1][0].ids_sha256 == by[2][0].decoded_sha256 and by[4][0].ids_sha256 == by[5][0].ids_sha256 and by[3][0].n_tokens > 150_000
     if name == "op9":
         assert by[1][0].n_tokens == by[2][0].n_tokens == 1 and sorted(r.start for r in by[None])[0] == 0
 
