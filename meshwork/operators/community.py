@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,10 @@ def core_vertices(edges: DataFrame, mu: int) -> DataFrame:
     return similar_degree(edges).where(F.col("n_similar") >= mu).select("u")
 
 
-def clusters(edges: DataFrame, cores: DataFrame) -> DataFrame:
-    """(u, cid) of cores: components of the similar edges among them, named by the least."""
+def clusters(edges: DataFrame, cores: DataFrame, components: Callable = connected_components) -> DataFrame:
+    """(u, cid) of cores: components of the similar edges among them, named by the least; ``components`` finds them."""
     among = edges.join(cores, "u", "left_semi").join(cores.withColumnRenamed("u", "w"), "w", "left_semi")
-    return connected_components(among, "u", "w").select(F.col("node").alias("u"), F.col("component").alias("cid"))
+    return components(among, "u", "w").select(F.col("node").alias("u"), F.col("component").alias("cid"))
 
 
 def membership(edges: DataFrame, mu: int) -> DataFrame:

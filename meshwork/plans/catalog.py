@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions.levels import bits_levels, bits_size
 from ..functions.similarity import MEASURES, level, mean_similarity
-from ..operators import bounds, community, components, forest, index, labels, metapath, metrics, neighborhood, similarity, skyline
+from ..operators import bounds, community, components, forest, index, labels, metapath, metrics, neighborhood, similarity, skyline, unionfind
+from ..operators.diameter import exact_diameter, induced, linked
 from ..session import materialize, shared_dir
 from ..sources.hin import as_evaluation
 from ..sources.spec import MetaPath, parse_spec
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 EPS, MU = {1: 0.3, 2: 0.3}, 5
 S_N_S, S_O_S = MetaPath((N.SUPPLIER, N.NATION, N.SUPPLIER), (-1, -1)), MetaPath((N.SUPPLIER, N.ORDER, N.SUPPLIER), (-1, -1))
 S_O_C_O_S = MetaPath((N.SUPPLIER, N.ORDER, N.CUSTOMER, N.ORDER, N.SUPPLIER), (-1, -1, -1, -1))
+C_O_P_O_C = MetaPath((N.CUSTOMER, N.ORDER, N.PART, N.ORDER, N.CUSTOMER), (-1, -1, -1, -1))
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -236,6 +238,13 @@ def scan_clusters(spark, d):
     return community.clusters(edges, community.core_vertices(edges, MU)).groupBy("cid").agg(F.count("*").alias("cores"))
 
 
+@query(f"{_H1_SCAN} SELECT cid, count(*) AS cores FROM clusters GROUP BY cid")
+def scan_clusters_contracted(spark, d):
+    """The same by forests of each task's own pairs."""
+    edges = _h1_edges(spark, d)
+    return community.clusters(edges, community.core_vertices(edges, MU), unionfind.contracted_components).groupBy("cid").agg(F.count("*").alias("cores"))
+
+
 @query(f"{_H1_SCAN} SELECT v, cid, role FROM members")
 def scan_members(spark, d):
     """Members of communities of parts."""
@@ -838,6 +847,46 @@ def community_pair_sim(spark, d):
     return got.select("cid", F.round("avg_jaccard", 9).alias("avg_jaccard"), F.round("avg_cosine", 9).alias("avg_cosine"))
 
 
+# every member starts, and a round keeps the pairs that are new
+_FARTHEST = """bfs AS (SELECT DISTINCT cid, v AS s, v AS u, 0 AS d FROM members UNION SELECT b.cid, b.s, e.w, b.d + 1 FROM bfs b JOIN e ON b.cid = e.cid AND
+  b.u = e.u WHERE b.d < 30)
+SELECT cid, max(d) AS diameter FROM (SELECT cid, s, u, min(d) AS d FROM bfs GROUP BY cid, s, u) GROUP BY cid"""
+
+
+@query(f"""{_H1_SCAN},
+e AS (SELECT DISTINCT a.cid, u, w FROM edges JOIN members a ON a.v = u JOIN members b ON b.v = w AND a.cid = b.cid WHERE u <> w),
+{_FARTHEST}""")
+def community_diameter_exact(spark, d):
+    """Diameters of communities of parts over their similar pairs."""
+    edges = _h1_edges(spark, d)
+    return exact_diameter(linked(edges), _h1_members(spark, d, edges))
+
+
+@query(f"""{_SPEC_SCAN},
+buys AS (SELECT DISTINCT o.src AS c, p.dst AS p FROM edges6 o JOIN edges6 p ON o.dst = p.src WHERE o.src_type = 0 AND o.dst_type = 1 AND p.dst_type = 2),
+e AS (SELECT DISTINCT a.cid, x.c AS u, y.c AS w FROM buys x JOIN buys y ON x.p = y.p AND x.c <> y.c JOIN members a ON a.v = x.c JOIN members b
+  ON b.v = y.c AND a.cid = b.cid),
+{_FARTHEST}""")
+def community_diameter_induced(spark, d):
+    """Diameters of communities of customers over orders of the same part, inside the community."""
+    hin = N.network(spark, d)
+    spec = _spec(hin)
+    members = community.membership(materialize(api.similar(hin, spec), "similar"), spec.mu)
+    return exact_diameter(induced(hin, [C_O_P_O_C]), materialize(members, "members"))
+
+
+@query(f"""{_H1_SCAN},
+m AS (SELECT DISTINCT cid, v FROM members),
+p AS (SELECT a.cid, a.v AS a, b.v AS b, CASE WHEN a.v = b.v THEN 1.0 ELSE coalesce(avg(s.s), 0) END AS j, CASE WHEN a.v = b.v THEN 1.0 ELSE
+  coalesce(avg(s.c / sqrt(s.na::DOUBLE * s.nb)), 0) END AS k FROM m a JOIN m b ON a.cid = b.cid LEFT JOIN sim s ON s.u = a.v AND s.w = b.v
+  GROUP BY a.cid, a.v, b.v)
+SELECT cid, round(avg(j), 9) AS avg_jaccard, round(avg(k), 9) AS avg_cosine FROM p GROUP BY cid""")
+def community_pair_sim_exact(spark, d):
+    """Mean similarity of all members, inside communities of parts."""
+    got = metrics.pair_similarity(N.part_supply(spark, d), _h1_members(spark, d), [1, 2], None)
+    return got.select("cid", F.round("avg_jaccard", 9).alias("avg_jaccard"), F.round("avg_cosine", 9).alias("avg_cosine"))
+
+
 _TRUTH = """truth AS (SELECT p_partkey AS id, CASE WHEN p_size <= 5 THEN 'o' ELSE p_type END AS cluster_id FROM part),
 pred AS (SELECT v AS id, CASE WHEN cid < 0 THEN 'o' ELSE CAST(cid AS VARCHAR) END AS cluster_id FROM output)"""
 _F1 = """np AS (SELECT cluster_id, count(DISTINCT id) AS n FROM pred GROUP BY cluster_id),
