@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import community, forest, index, local, metapath, metrics, neighborhood, served, similarity, skyline
+from .operators import community, forest, index, local, metapath, metrics, neighborhood, seeded, served, similarity, skyline
 from .session import materialize
 from .sources.buckets import buckets_for, read_bucketed, write_bucketed
 from .sources.hin import Hin
@@ -169,6 +169,15 @@ def local_search(hin: Hin, spec: QuerySpec, measure: str = "jaccard", selected:
     return community.search(materialize(community.membership(found.edges, spec.mu), "members"), queries)
 
 
+def path_search(hin: Hin, spec: QuerySpec, measure: str = "pathsim", selected: DataFrame | None = None) -> DataFrame:
+    """(q, v, role): the answers of :func:`community_search` with a path measure, walked from the query vertices along the meta-paths."""
+    if measure not in PATHS or not spec.metapaths:
+        raise ValueError(f"{measure} is no measure over the specification's meta-paths")
+    queries = materialize(neighborhood.query_vertices(hin, spec, selected), "queries")
+    edges = materialize(seeded.walked_edges(hin, list(spec.metapaths), queries, spec.mu, measure), "similar")
+    return community.search(materialize(community.membership(edges, spec.mu), "members"), queries)
+
+
 def index_search(hin: Hin, spec: QuerySpec, stored: Index, selected: DataFrame | None = None) -> DataFrame:
     """(q, v, role): the answers of :func:`community_search`, walked from the query vertices through the stored index."""
     queries = materialize(neighborhood.query_vertices(hin, spec, selected), "queries")

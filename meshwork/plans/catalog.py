@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions.levels import bits_levels, bits_size
 from ..functions.similarity import MEASURES, level, mean_similarity
-from ..operators import bounds, community, components, forest, index, labels, metapath, metrics, neighborhood, similarity, skyline, unionfind
+from ..operators import bounds, community, components, forest, index, labels, metapath, metrics, neighborhood, seeded, similarity, skyline, unionfind
 from ..operators.diameter import exact_diameter, induced, linked
 from ..session import materialize, shared_dir
 from ..sources.hin import as_evaluation
@@ -396,13 +396,14 @@ def hetesim_pairs(spark, d):
 
 
 # s(order, order) is 1 where both are the same customer's, so pairs of orders add up by customer
-_HETESIM_5 = f"""WITH {_HIN},
+_HETESIM_5_COUNTS = f"""{_HIN},
 so AS (SELECT src AS s, dst AS o, count(*) AS k FROM edges6 WHERE src_type = 3 AND dst_type = 1 GROUP BY src, dst),
 oc AS (SELECT src AS o, dst AS c FROM edges6 WHERE src_type = 1 AND dst_type = 0),
 sc AS (SELECT s, c, sum(k) AS k FROM so JOIN oc ON so.o = oc.o GROUP BY s, c),
-n AS (SELECT s, sum(k) AS n FROM so GROUP BY s)
-SELECT a.s AS a, b.s AS b, round(CASE WHEN a.s = b.s THEN 1.0 ELSE sum(a.k * b.k) / sqrt(x.n::DOUBLE * y.n) END, 9) AS s
+n AS (SELECT s, sum(k) AS n FROM so GROUP BY s)"""
+_HETESIM_5_PAIRS = """SELECT a.s AS a, b.s AS b, round(CASE WHEN a.s = b.s THEN 1.0 ELSE sum(a.k * b.k) / sqrt(x.n::DOUBLE * y.n) END, 9) AS s
 FROM sc a JOIN sc b ON a.c = b.c JOIN n x ON a.s = x.s JOIN n y ON b.s = y.s GROUP BY a.s, b.s, x.n, y.n"""
+_HETESIM_5 = f"WITH {_HETESIM_5_COUNTS}\n{_HETESIM_5_PAIRS}"
 
 
 @query(_HETESIM_5)
@@ -426,6 +427,47 @@ def hetesim_members(spark, d):
     return community.membership(materialize(edges, "similar"), 3)
 
 
+# thresholds of communities by path, as a specification for twenty suppliers
+_PATH_SPEC = "3\n1\n3 20\n-1\n-2 0.2\n2\n3 -1 4 -1 3\n0.3\n3 -1 1 -1 3\n{eps}\n"
+_SUPPLIERS = """ql AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l, count(*) OVER () AS n FROM vertices WHERE type = 3),
+q AS (SELECT id FROM ql WHERE l >= 1 AND (l - 1) % greatest(1, n // 20) = 0 AND l < 1 + 20 * greatest(1, n // 20))"""
+_PATH_ANSWERS = f"""{_SUPPLIERS}
+SELECT c.v AS q, m.v, m.role FROM members c JOIN members m ON c.cid = m.cid WHERE c.role = 'c' AND c.v IN (SELECT id FROM q)"""
+_PS_EDGES = "edges AS (SELECT u, w FROM ps WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND s1 >= 0.3 AND s2 >= 0.005)"
+
+
+def _twenty(hin) -> DataFrame:
+    return neighborhood.query_vertices(hin, _spec(hin, _PATH_SPEC.format(eps=0.005)))
+
+
+@query(f"WITH {_SOS}, {_PS}, {_PS_EDGES}, {_SUPPLIERS} SELECT u, w FROM edges WHERE u IN (SELECT id FROM q)")
+def pathsim_seeded(spark, d):
+    """Suppliers like each of twenty by PathSim, from these outwards."""
+    hin = N.network(spark, d)
+    return seeded.seeded_pathsim(hin, [(S_N_S, 0.3), (S_O_S, 0.005)], _twenty(hin))
+
+
+@query(f"WITH {_HETESIM_5_COUNTS}, hs AS ({_HETESIM_5_PAIRS}), {_SUPPLIERS} SELECT a, b, s FROM hs WHERE a IN (SELECT id FROM q)")
+def hetesim_seeded(spark, d):
+    """HeteSim of twenty suppliers with all, by order and customer, from these outwards."""
+    hin = N.network(spark, d)
+    return seeded.seeded_hetesim(hin, S_O_C_O_S, _twenty(hin)).select("a", "b", F.round("s", 9).alias("s"))
+
+
+@query(f"WITH RECURSIVE {_SOS}, {_PS}, {_PS_EDGES}, {_scan(3)}, {_PATH_ANSWERS}")
+def pathsim_search(spark, d):
+    """Communities of twenty suppliers by PathSim, walked from them."""
+    hin = N.network(spark, d)
+    return api.path_search(hin, _spec(hin, _PATH_SPEC.format(eps=0.005)))
+
+
+@query(f"WITH RECURSIVE {_HIN}, {_HETESIM_EDGES}, {_scan(3)}, {_PATH_ANSWERS}")
+def hetesim_search(spark, d):
+    """Communities of twenty suppliers by HeteSim, walked from them."""
+    hin = N.network(spark, d)
+    return api.path_search(hin, _spec(hin, _PATH_SPEC.format(eps=0.0301)), "hetesim")
+
+
 @query(f"""WITH {_SOS},
 deg AS (SELECT id, count(sos.w) AS degree FROM vertices LEFT JOIN sos ON sos.u = id AND sos.w <> id WHERE type = 3 GROUP BY id)
 SELECT degree, count(*) AS n FROM deg GROUP BY degree""")
