@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, files_for, materialize
+from .text import free_name
 
 SHINGLE, SIMILARITY, RADIUS, BLOCK = 5, 0.8, 23, 8
 _FLIPS = [0] + [1 << i for i in range(BLOCK)] + [1 << i | 1 << k for i in range(BLOCK) for k in range(i)]
@@ -159,5 +160,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
     A null doc_id is an id like any other; an empty table gives an empty result.
     """
-    bad = find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(broadcast_if_small(materialize(bad, "leaked", files_for(docs.count()))), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    leaked = free_name(docs, "leaked")
+    bad = find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(broadcast_if_small(materialize(bad, "leaked", files_for(docs.count()))), F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")

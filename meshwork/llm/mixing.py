@@ -24,24 +24,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, files_for, materialize
-from .text import WORD
+from .text import WORD, free_name
 
 DIGIT = 12  # bits of a rounding key that one histogram resolves
 DIGITS = 4
 _ROW, _PART = "__row", "__part"
 
 
-def numbered_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` as written, with a number of its own for each row and its partition's."""
+def numbered_rows(docs: DataFrame, row: str = _ROW, part: str = _PART) -> DataFrame:
+    """``docs`` as written, with a number of its own for each row and its partition's, in columns of these names."""
     files = files_for(docs.count())
-    return materialize(docs.coalesce(files).withColumn(_ROW, F.monotonically_increasing_id()).withColumn(_PART, F.spark_partition_id()), "rows")
+    return materialize(docs.coalesce(files).withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.spark_partition_id()), "rows")
 
 
-def sized(docs: DataFrame, prior: str | None = None) -> DataFrame:
+def sized(docs: DataFrame, prior: str | None = None, row: str = _ROW, part: str = _PART) -> DataFrame:
     """row, part, doc_id, source, size (words; null text: 0), q and a hash of the text of every numbered row."""
     q = F.greatest(F.coalesce(F.col(prior).cast("double"), F.lit(1.0)), F.lit(0.0)) if prior else F.lit(1.0)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    ids = [F.col(_ROW).alias("row"), F.col(_PART).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")]
+    ids = [F.col(row).alias("row"), F.col(part).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")]
     return docs.select(*ids, size.alias("size"), q.alias("q"), F.xxhash64("text").alias("body"))
 
 
@@ -221,8 +221,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
     Null and repeated ids, null texts and sources and empty tables are as in :func:`mix_sources`.
     """
-    rows = numbered_rows(docs)
+    row, part, times = (free_name(docs, n) for n in (_ROW, _PART, "__copies"))
+    rows = numbered_rows(docs, row, part)
     files = files_for(rows.count())
-    taken = copies(with_turns(materialize(sized(rows, prior), "sized", files), files), weights, share, cap, seed).where("copies > 0").select(F.col("row").alias(_ROW), F.col("copies").cast("int").alias("__copies"))
-    out = rows.join(broadcast_if_small(materialize(taken, "taken", files)), _ROW)
-    return out.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+    taken = copies(with_turns(materialize(sized(rows, prior, row, part), "sized", files), files), weights, share, cap, seed).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    out = rows.join(broadcast_if_small(materialize(taken, "taken", files)), row)
+    return out.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)

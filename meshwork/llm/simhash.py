@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import NUMBER_ROWS, broadcast_if_small, files_for, materialize
-from .text import map_texts, words
+from .text import free_name, map_texts, words
 
 RADIUS, SEED = 3, 42
 _LOW = 0x5555555555555555
@@ -133,11 +133,12 @@ def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near
     Rows are told apart by a number of their own, so null and repeated ids lose
     nothing; a row with a null id stands for a component only where it has no other.
     """
+    row = free_name(docs, _ROW)
     files = files_for(docs.count())
-    rows = materialize(docs.coalesce(files).withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    found = groups(rows.select(F.col(_ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ROW), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(_ROW).alias("row")).alias("order")
-    named = materialize(found.join(rows.select(_ROW, order), _ROW), "named", files)
-    kept = named.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias(_ROW))
-    dropped = materialize(named.select(_ROW).join(kept, _ROW, "left_anti"), "dropped", files)
-    return rows.join(broadcast_if_small(dropped), _ROW, "left_anti").drop(_ROW)
+    rows = materialize(docs.coalesce(files).withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(row).alias("row")).alias("order")
+    named = materialize(found.join(rows.select(row, order), row), "named", files)
+    kept = named.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias(row))
+    dropped = materialize(named.select(row).join(kept, row, "left_anti"), "dropped", files)
+    return rows.join(broadcast_if_small(dropped), row, "left_anti").drop(row)

@@ -90,3 +90,17 @@ def test_filters_keep_the_columns(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {None, 3, 4, 5, 6}
     for f in (lambda d: simhash.one_of_each(d, near_copies.near_copies), mixing.mixed_documents, lambda d: decontamination.without_leaks(d, items(spark))):
         assert f(docs.limit(0)).count() == 0
+
+
+def test_columns_named_as_those_in_between(spark):
+    """Columns of the names that the filters use inside pass as they are."""
+    names = ["leaked", "__row", "__row_", "__PART", "__copies"]
+    docs = spark.createDataFrame([(i, text, "en", "a", *[f"{n}{i}" for n in names]) for i, text in ((1, PASSAGE), (2, "some words of no item"), (2, "some words of no item"), (3, None))], f"doc_id long, text string, lang string, source string, {', '.join(f'{n} string' for n in names)}")
+    rows = lambda df: sorted((r.doc_id, *[r[n] for n in names]) for r in df.collect())
+    own = lambda i: (i, *[f"{n}{i}" for n in names])
+    clean = decontamination.without_leaks(docs, items(spark))
+    assert clean.columns == docs.columns and rows(clean) == [own(2), own(2), own(3)]
+    one = simhash.one_of_each(docs, near_copies.near_copies)
+    assert one.columns == docs.columns and rows(one) == [own(1), own(2), own(3)]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and set(rows(mixed)) <= {own(1), own(2)}
