@@ -59,3 +59,17 @@ def test_last_rounds_go_over_few_edges(spark, monkeypatch):
     edges = spark.createDataFrame([(u, w, x) for (u, w), x in lv.items()] + [(u, u, x) for u, x in alone.items()], "u long, w long, lv int")
     assert {r.u: r.tau for r in index._fixpoint(edges, k, []).collect()} == tau
     assert len(seen) == 2 and max(seen) < len(lv) / 2
+
+
+def test_repeated_sets_are_compared_once(spark, monkeypatch):
+    rng = random.Random(7)
+    kinds = [rng.sample(range(6), rng.randint(1, 3)) for _ in range(8)]
+    rows = [(u, t, f"v{v}") for u in range(40) for t in (1, 2) for v in kinds[(u * t) % 8]]
+    nbr = spark.createDataFrame(rows, "u long, type int, v string")
+    seen, plain = [], similarity._compared
+    monkeypatch.setattr(similarity, "_compared", lambda n, m: seen.append(n.select("u", "type").distinct().count()) or plain(n, m))
+    for measure in similarity.MEASURES:
+        got = similarity.typed_similarity(nbr, measure)
+        want = {tuple(r) for r in plain(nbr, measure).collect()}
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert max(seen) <= 16
