@@ -44,3 +44,18 @@ def test_pairs_and_cores_of_many_neighbours(spark):
         assert {tuple(r) for r in edges.collect()} == brute(rows, eps)
         cores = {r.u for r in community.core_vertices(edges, 3).collect()}
         assert cores and {r.u for r in bounds.bounded_cores(nbr, eps, 3).cores.collect()} == cores
+
+
+def test_both_sides_of_the_prefix_join_are_one_exchange(spark):
+    nbr, rows = network(spark, 4, people=200, kinds=300)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test = similarity._threshold({2: 0.4}, "jaccard")
+        got = similarity._prefix_pairs(nbr.where("type = 2").select("u", "v"), [], 2, test, (0.4, 0.4))
+        found = {tuple(r) for r in got.collect()}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "ReusedExchange" in plan
+    assert {(u, w) for u, w in brute([r for r in rows if r[1] == 2], {2: 0.4}) if u < w} <= found
