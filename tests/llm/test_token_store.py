@@ -60,3 +60,11 @@ def test_a_full_memory_changes_nothing(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts[i : i + 3])] == [LIB.encode(t, add_special_tokens=False).ids for t in texts[i : i + 3]]
         assert ours.held >= sum(map(len, ours.known))
     assert len(ours.known) < 100
+
+
+def test_letters_and_what_follows_them_are_remembered_apart():
+    ours = SegmentEncoder(PATH)
+    words, signs = [f"wo{'rd' * i}" for i in range(1, 21)], [".", ",", "!!", "'s", "'", "7", ".\nThe", "\n\nx", "é.", "-a"]
+    texts = [" ".join(w + s for w in words) for s in signs]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(ours.known) < 80  # 200 of letters and signs together
