@@ -6,7 +6,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meshwork.llm import token_store
+from meshwork.llm import text, token_store
 from meshwork.llm.token_store import SegmentEncoder, open_store, read_document, round_trip, write_store
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -68,3 +68,21 @@ def test_letters_and_what_follows_them_are_remembered_apart():
     texts = [" ".join(w + s for w in words) for s in signs]
     assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(ours.known) < 80  # 200 of letters and signs together
+
+
+def test_first_words_and_lines_of_letters_skip_the_pre_tokenizer(monkeypatch):
+    ours, asked = SegmentEncoder(PATH), []
+    ids = ours._ids
+    monkeypatch.setattr(ours, "_ids", lambda texts: asked.extend(texts) or ids(texts))
+    texts = ["Uvwxyz abc\nÉtuvw\nabc d", "Uvwxyz\n", "Uvwxyz Uvwxyz\n1a\nB'c"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {"Uvwxyz", "\nÉtuvw", "\nabc"} & set(asked)
+
+
+def test_texts_are_put_together_whole_and_in_order():
+    rows = [(i, "x" * (7 * i % 5)) for i in range(23)]
+    parts = [([i for i, _ in rows[k : k + 2]], [t for _, t in rows[k : k + 2]]) for k in range(0, 23, 2)]
+    got = list(text.gathered(iter(parts), 10))
+    assert [x for ids, texts in got for x in zip(ids, texts, strict=True)] == rows
+    assert all(sum(map(len, texts)) >= 10 for _, texts in got[:-1]) and len(got) < len(parts)
+    assert not list(text.gathered(iter([]), 10))
