@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from meshwork.operators import bounds, community, similarity
 
 
@@ -59,3 +62,15 @@ def test_both_sides_of_the_prefix_join_are_one_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert "ReusedExchange" in plan
     assert {(u, w) for u, w in brute([r for r in rows if r[1] == 2], {2: 0.4}) if u < w} <= found
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_of_lists_are_not_broadcast(spark, monkeypatch, small):
+    plans, kept = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df, name="t", files=None: (name == "sets" and plans.append(df._jdf.queryExecution().sparkPlan().toString())) or kept(df, name, files))
+    if not small:
+        monkeypatch.setattr(similarity, "broadcast_if_small", lambda df: df)
+    own = kept(spark.range(20).select(F.col("id").alias("u"), F.sequence(F.col("id") * 40, F.col("id") * 40 + 399).alias("l")), "own")
+    _, sets = similarity._entered(own.select("u", F.explode("l").alias("v")), [], 0.5)
+    assert sets.where("n = 400 and size(vs) = 400").count() == 20
+    assert len(plans) == 1 and "BuildLeft" not in plans[0] and ("BuildRight" if small else "SortMergeJoin") in plans[0]
